@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlink.llm import packing, quality, url_rules
+from weftlink.llm import near_dup, packing, quality, rollups, url_rules, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_near_duplicates": near_dup.op3_near_duplicates,
+        "op4_warc_derivatives": warc.op4_warc_derivatives,
         "op5_url_rules": url_rules.op5_url_rules,
         "op8_packing": packing.op8_packing,
         "op9_quality_rules": quality.op9_quality_rules,
+        "op10_token_rollups": rollups.op10_token_rollups,
     }
 
 
