@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import code_points, is_space, mix, run_hashes, runs, slices, table, text_bytes
+from weftlink.llm.common import code_points, is_space, mix, run_hashes, runs, slices, stored, table, text_bytes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bars", "n_capitals")
 #: Characters counted as symbols.
@@ -145,10 +145,13 @@ def method_rejects(cutoffs: dict, stratum: str):
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: str = "text", max_loss: float = 0.02, error: float = 0.05) -> DataFrame:
-    """doc_id, stratum, measures, base_failed and kept of every document."""
-    labelled = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    cutoffs = fit_cutoffs(text_measures(labelled, ["doc_id", stratum], text_col), labels, stratum, max_loss, error)
-    return text_measures(docs, ["doc_id", stratum], text_col).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~method_rejects(cutoffs, stratum))
+    """doc_id, stratum, measures, base_failed and kept of every document.
+
+    Texts are read once; only the measures meet the labels.
+    """
+    measured = stored(text_measures(docs, ["doc_id", stratum], text_col), "measures")
+    cutoffs = fit_cutoffs(measured, labels, stratum, max_loss, error)
+    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~method_rejects(cutoffs, stratum))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
