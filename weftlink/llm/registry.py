@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlink.llm import fingerprints, near_dup, packing, quality, rollups, url_rules, warc
+from weftlink.llm import fingerprints, line_dedup, near_dup, packing, quality, rollups, url_rules, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_near_duplicates": near_dup.op3_near_duplicates,
         "op4_warc_derivatives": warc.op4_warc_derivatives,
         "op5_url_rules": url_rules.op5_url_rules,
