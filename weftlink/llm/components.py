@@ -14,23 +14,29 @@ from pyspark.sql import functions as F
 from weftlink.llm.common import cut
 
 
-def _least(edges: DataFrame, node: str, other: str) -> DataFrame:
-    return edges.groupBy(node).agg(F.min(other).alias("m"))
+#: Edges to a partition between rounds; small graphs so keep few files.
+EDGES = 200_000
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reached."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
+    parts = max(1, -(-now.count() // EDGES))
     for _ in range(most_rounds):
+        now = now.coalesce(parts)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both, "u", "v").withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = _least(large, "u", "v")
+        least = _least(both).withColumn("m", F.least("m", "u"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
+        least = _least(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = cut(small.where("u <> v").distinct())
+        now = cut(small.where("u <> v").distinct().coalesce(parts))
         sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == before:
             break
         before = sums
-    return cut(now.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component")))
+    return cut(_least(now).select(F.col("u").alias("node"), F.col("m").alias("component")).coalesce(parts))

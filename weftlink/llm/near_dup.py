@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import BLOCK, cut, is_space, mix, run_hashes, runs, slices, stored, table, text_bytes
+from weftlink.llm.common import BLOCK, cut, is_space, mix, release, run_hashes, runs, slices, stored, table, text_bytes
 from weftlink.llm.components import components
 
 _U = np.uint64
@@ -202,7 +202,6 @@ def link_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     full = members.where("n > 0 and id is not null")
     classes = stored(full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     comp = None
-    edges = None
     for k in range(rounds):
         now = classes.withColumn("comp", F.col("rep")) if comp is None else classes.join(comp, classes["rep"] == comp["node"], "left").select("rep", "n", "sig", F.coalesce("component", "rep").alias("comp"))
         pairs = cut(_neighbours(now, partitions, reach, num, den, k > 0))
@@ -210,8 +209,8 @@ def link_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
             best = pairs.select(F.col("b").alias("node"), "a", "b", "est").union(pairs.select(F.col("a").alias("node"), "a", "b", "est"))
             best = best.groupBy("node").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
             best = cut(best)
-            edges = cut(_confirm(best, texts, words, num, den))
-            comp = components(edges)
+            comp = components(cut(_confirm(best, texts, words, num, den)))
+            release(spark)
         name = comp.withColumnRenamed("component", "c")
         open_pairs = (
             pairs.select("a", "b")
@@ -232,13 +231,14 @@ def link_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
             if k:
                 break
             continue
-        edges = edges.union(more)
-        comp = components(edges)
+        # What is joined already counts as one edge for each class.
+        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        release(spark)
     # Rows of one doc_id with different sets are one node: an edge from each set's representative to the id.
     split = full.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")
     shared = full.join(split, "id", "left_semi").join(classes.select("digest", "rep"), "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     if not shared.isEmpty():
-        comp = components(edges.union(shared))
+        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(shared))
     placed = members.select("id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
     placed = placed.join(comp, placed["rep"] == comp["node"], "left")
     return placed.select(
