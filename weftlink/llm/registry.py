@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlink.llm import fingerprints, line_dedup, mixing, near_dup, packing, quality, rollups, url_rules, warc
+from weftlink.llm import fingerprints, line_dedup, mixing, near_dup, packing, quality, rollups, toxicity, url_rules, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_duplicates": near_dup.op3_near_duplicates,
         "op4_warc_derivatives": warc.op4_warc_derivatives,
         "op5_url_rules": url_rules.op5_url_rules,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_mixing": mixing.op7_mixing,
         "op8_packing": packing.op8_packing,
         "op9_quality_rules": quality.op9_quality_rules,
