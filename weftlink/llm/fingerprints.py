@@ -8,6 +8,10 @@ sample and term, hashes give r, c ~ Gamma(2, 1) and beta ~ U(0, 1); with weight
 and the sample is the (term, t) of least a. Two documents share a sample with
 probability equal to their generalised Jaccard similarity, sum min(w) / sum max(w).
 
+Gamma draws are quantiles at hashed levels: r from a table of ``LEVELS`` quantiles, and
+ln c = ln(2 p) / 2 + g(p), which is exact in the lower tail, where the least a is found, with
+the bounded g from a table.
+
 A sample is one long: 31 bits of ln a above 32 bits naming (term, t), so the least one is a
 plain ``min`` and equal texts give equal fingerprints. Samples are computed four to a
 row, which keeps generated code small enough for the JVM to compile. Texts are dealt once by
@@ -20,6 +24,9 @@ doc_id the one with the smallest text counts; a null doc_id is an id of its own
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +34,7 @@ from weftlink.llm.common import WORD_BREAK, cut, table
 
 SAMPLES = 64
 PER_ROW = 4
+LEVELS = 1024
 NO_ID = -(1 << 63)
 _SPAN = 1 << 32
 
@@ -37,9 +45,21 @@ def term_weights(df: DataFrame, key: str, text_col: str) -> DataFrame:
     return words.groupBy(key, F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def _unit(bits):
-    """A number in (0, 1) from 32 bits."""
-    return (bits + F.lit(0.5)) / F.lit(float(_SPAN))
+def gamma_quantile(p: float) -> float:
+    """x with P(X <= x) = p for X ~ Gamma(2, 1), by bisection."""
+    low, high = 0.0, 60.0
+    for _ in range(80):
+        x = (low + high) / 2
+        low, high = (x, high) if 1 - (1 + x) * math.exp(-x) < p else (low, x)
+    return (low + high) / 2
+
+
+def _tables() -> tuple:
+    """Columns of fixed arrays: quantiles of r, and g, at the middle of each level."""
+    at = [(i + 0.5) / LEVELS for i in range(LEVELS)]
+    r = [gamma_quantile(p) for p in at]
+    g = [math.log(x) - math.log(2 * p) / 2 for x, p in zip(r, at, strict=True)]
+    return tuple(F.from_json(F.lit(json.dumps([round(v, 7) for v in t])), "array<double>") for t in (r, g))
 
 
 def samples(weighted: DataFrame, key: str, weights: list[str], n: int = SAMPLES) -> DataFrame:
@@ -48,13 +68,16 @@ def samples(weighted: DataFrame, key: str, weights: list[str], n: int = SAMPLES)
     logs = [F.ln(F.col(w).cast("double")).alias(f"ln_{w}") for w in weights]
     rows = weighted.select(key, "term", *logs, wide)
     drawn = [key, "part", *(f"ln_{w}" for w in weights)]
+    r_table, g_table = _tables()
     for j in range(PER_ROW):
         x = F.xxhash64("term", F.col("part") * PER_ROW + j)
-        y, z = F.xxhash64(x), F.xxhash64(x, F.lit(j))
-        rows = rows.withColumns({f"x{j}": x, f"y{j}": y, f"z{j}": z})
-        r = -F.ln(_unit(F.col(f"x{j}").bitwiseAND(low)) * _unit(F.shiftrightunsigned(f"x{j}", 32)))
-        c = F.ln(-F.ln(_unit(F.col(f"y{j}").bitwiseAND(low)) * _unit(F.shiftrightunsigned(f"y{j}", 32))))
-        drawn += [r.alias(f"r{j}"), c.alias(f"c{j}"), _unit(F.shiftrightunsigned(f"z{j}", 32)).alias(f"b{j}"), f"z{j}"]
+        rows = rows.withColumns({f"x{j}": x, f"y{j}": F.xxhash64(x)})
+        x, y = F.col(f"x{j}"), F.col(f"y{j}")
+        r = F.get(r_table, x.bitwiseAND(F.lit(LEVELS - 1)).cast("int"))
+        beta = (F.shiftrightunsigned(x, 10).bitwiseAND(F.lit((1 << 20) - 1)) + F.lit(0.5)) / F.lit(float(1 << 20))
+        p2 = (F.shiftrightunsigned(y, 11) + F.lit(0.5)) / F.lit(float(1 << 52))
+        c = F.ln(p2) * 0.5 + F.get(g_table, F.shiftrightunsigned(y, 54).cast("int"))
+        drawn += [r.alias(f"r{j}"), c.alias(f"c{j}"), beta.alias(f"b{j}"), F.shiftrightunsigned(x, 32).alias(f"z{j}")]
     rows = rows.select(*drawn)
     least = []
     for w in weights:
@@ -66,30 +89,32 @@ def samples(weighted: DataFrame, key: str, weights: list[str], n: int = SAMPLES)
     return rows.groupBy(key, "part").agg(*least)
 
 
-def _digits(columns: list[str]):
-    """Eight hex digits for each sample; the empty string where there is none."""
-    return F.concat_ws("", *(F.lpad(F.lower(F.hex(F.col(c).bitwiseAND(F.lit(_SPAN - 1)))), 8, "0") for c in columns))
-
-
 def signatures(weighted: DataFrame, key: str, weights: list[str], n: int = SAMPLES) -> DataFrame:
-    """(key, <weight>_print ...): the fingerprint of each document under each weight column."""
+    """(key, <weight>_ids ...): the names of each document's samples under each weight column."""
+    low = F.lit(_SPAN - 1)
     parts = samples(weighted, key, weights, n)
-    parts = parts.select(key, F.struct("part", *(_digits([f"{w}_{j}" for j in range(PER_ROW)]).alias(w) for w in weights)).alias("s"))
+    parts = parts.select(key, F.struct("part", *(F.array(*(F.col(f"{w}_{j}").bitwiseAND(low) for j in range(PER_ROW))).alias(w) for w in weights)).alias("s"))
     whole = parts.groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("s"))
-    return whole.select(key, *(F.array_join(F.col(f"s.{w}"), "").alias(f"{w}_print") for w in weights))
+    filled = [F.flatten(F.col(f"s.{w}")) for w in weights]
+    return whole.select(key, *(F.when(F.get(ids, F.lit(0)).isNotNull(), ids).alias(f"{w}_ids") for w, ids in zip(weights, filled, strict=True)))
+
+
+def printed(ids):
+    """A fingerprint as text, eight hex digits for each sample; empty where there are none."""
+    return F.coalesce(F.array_join(F.transform(ids, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit(""))
 
 
 def likeness(a, b, n: int = SAMPLES):
-    """Share of equal samples of two fingerprints."""
-    same = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(a.substr(i * 8 + 1, F.lit(8)) == b.substr(i * 8 + 1, F.lit(8)), 1.0).otherwise(0.0))
-    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.aggregate(same, F.lit(0.0), lambda s, x: s + x) / n)
+    """Share of equal samples of two lists of sample names (null: a text without words)."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / n
+    return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same)
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SAMPLES) -> DataFrame:
     """(id, fingerprint) of every document."""
     base = _one_per_id(docs, id_col, text_col)
     found = signatures(term_weights(base, "key", "text"), "key", ["weight"], n)
-    return base.select("key").join(found, "key", "left").select(_id().alias(id_col), F.coalesce("weight_print", F.lit("")).alias("fingerprint"))
+    return base.select("key").join(found, "key", "left").select(_id().alias(id_col), printed(F.col("weight_ids")).alias("fingerprint"))
 
 
 def _one_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,18 +164,18 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     weighted = words.groupBy("key", F.xxhash64("word").alias("term")).agg(F.sum("a").alias("old"), F.sum("b").alias("new"))
     found = signatures(weighted, "key", ["old", "new"], n)
     own = pairs.select("key", "prev", "n_chars", F.sha2(F.concat("front", "donor"), 256).alias("edited_sha256")).join(found, "key", "left")
-    own = own.select("key", "prev", "n_chars", "edited_sha256", F.coalesce("old_print", F.lit("")).alias("old"), F.coalesce("new_print", F.lit("")).alias("new"))
+    own = own.select("key", "prev", "n_chars", "edited_sha256", F.col("old_ids").alias("old"), F.col("new_ids").alias("new"))
     # One row for the document itself and one for the document before it, which needs its fingerprint.
-    self_row = F.struct("key", "n_chars", "edited_sha256", "old", "new", F.lit(None).cast("string").alias("next"))
-    for_prev = F.struct(F.col("prev").alias("key"), F.lit(None).cast("long").alias("n_chars"), *(F.lit(None).cast("string").alias(c) for c in ("edited_sha256", "old", "new")), F.col("old").alias("next"))
+    self_row = F.struct("key", "n_chars", "edited_sha256", "old", "new", F.lit(None).cast("array<bigint>").alias("next"))
+    for_prev = F.struct(F.col("prev").alias("key"), F.lit(None).cast("long").alias("n_chars"), F.lit(None).cast("string").alias("edited_sha256"), *(F.lit(None).cast("array<bigint>").alias(c) for c in ("old", "new")), F.col("old").alias("next"))
     met = own.select(F.explode(F.array(self_row, for_prev)).alias("r")).select("r.*")
     met = met.groupBy("key").agg(*(F.max(c).alias(c) for c in ("n_chars", "edited_sha256", "old", "new", "next")))
     return met.select(
         _id().alias(id_col),
         "n_chars",
         "edited_sha256",
-        F.col("old").alias("fingerprint"),
-        F.col("new").alias("edited_fingerprint"),
+        printed(F.col("old")).alias("fingerprint"),
+        printed(F.col("new")).alias("edited_fingerprint"),
         likeness(F.col("old"), F.col("new"), n).alias("near_edited"),
         likeness(F.col("old"), F.col("next"), n).alias("near_next"),
     )
