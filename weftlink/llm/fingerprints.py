@@ -89,32 +89,31 @@ def samples(weighted: DataFrame, key: str, weights: list[str], n: int = SAMPLES)
     return rows.groupBy(key, "part").agg(*least)
 
 
+def _digits(columns: list[str]):
+    """Eight hex digits for each sample; the empty string where there is none."""
+    return F.concat_ws("", *(F.lpad(F.lower(F.hex(F.col(c).bitwiseAND(F.lit(_SPAN - 1)))), 8, "0") for c in columns))
+
+
 def signatures(weighted: DataFrame, key: str, weights: list[str], n: int = SAMPLES) -> DataFrame:
-    """(key, <weight>_ids ...): the names of each document's samples under each weight column."""
-    low = F.lit(_SPAN - 1)
+    """(key, <weight>_print ...): the fingerprint of each document under each weight column."""
     parts = samples(weighted, key, weights, n)
-    parts = parts.select(key, F.struct("part", *(F.array(*(F.col(f"{w}_{j}").bitwiseAND(low) for j in range(PER_ROW))).alias(w) for w in weights)).alias("s"))
+    parts = parts.select(key, F.struct("part", *(_digits([f"{w}_{j}" for j in range(PER_ROW)]).alias(w) for w in weights)).alias("s"))
     whole = parts.groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("s"))
-    filled = [F.flatten(F.col(f"s.{w}")) for w in weights]
-    return whole.select(key, *(F.when(F.get(ids, F.lit(0)).isNotNull(), ids).alias(f"{w}_ids") for w, ids in zip(weights, filled, strict=True)))
-
-
-def printed(ids):
-    """A fingerprint as text, eight hex digits for each sample; empty where there are none."""
-    return F.coalesce(F.array_join(F.transform(ids, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit(""))
+    return whole.select(key, *(F.array_join(F.col(f"s.{w}"), "").alias(f"{w}_print") for w in weights))
 
 
 def likeness(a, b, n: int = SAMPLES):
-    """Share of equal samples of two lists of sample names (null: a text without words)."""
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / n
-    return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same)
+    """Share of equal samples of two fingerprints."""
+    x, y = (F.regexp_extract_all(c, F.lit("[0-9a-f]{8}"), F.lit(0)) for c in (a, b))
+    same = F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) / n
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(same)
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SAMPLES) -> DataFrame:
     """(id, fingerprint) of every document."""
     base = _one_per_id(docs, id_col, text_col)
     found = signatures(term_weights(base, "key", "text"), "key", ["weight"], n)
-    return base.select("key").join(found, "key", "left").select(_id().alias(id_col), printed(F.col("weight_ids")).alias("fingerprint"))
+    return base.select("key").join(found, "key", "left").select(_id().alias(id_col), F.coalesce("weight_print", F.lit("")).alias("fingerprint"))
 
 
 def _one_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -164,18 +163,18 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     weighted = words.groupBy("key", F.xxhash64("word").alias("term")).agg(F.sum("a").alias("old"), F.sum("b").alias("new"))
     found = signatures(weighted, "key", ["old", "new"], n)
     own = pairs.select("key", "prev", "n_chars", F.sha2(F.concat("front", "donor"), 256).alias("edited_sha256")).join(found, "key", "left")
-    own = own.select("key", "prev", "n_chars", "edited_sha256", F.col("old_ids").alias("old"), F.col("new_ids").alias("new"))
+    own = own.select("key", "prev", "n_chars", "edited_sha256", F.coalesce("old_print", F.lit("")).alias("old"), F.coalesce("new_print", F.lit("")).alias("new"))
     # One row for the document itself and one for the document before it, which needs its fingerprint.
-    self_row = F.struct("key", "n_chars", "edited_sha256", "old", "new", F.lit(None).cast("array<bigint>").alias("next"))
-    for_prev = F.struct(F.col("prev").alias("key"), F.lit(None).cast("long").alias("n_chars"), F.lit(None).cast("string").alias("edited_sha256"), *(F.lit(None).cast("array<bigint>").alias(c) for c in ("old", "new")), F.col("old").alias("next"))
+    self_row = F.struct("key", "n_chars", "edited_sha256", "old", "new", F.lit(None).cast("string").alias("next"))
+    for_prev = F.struct(F.col("prev").alias("key"), F.lit(None).cast("long").alias("n_chars"), *(F.lit(None).cast("string").alias(c) for c in ("edited_sha256", "old", "new")), F.col("old").alias("next"))
     met = own.select(F.explode(F.array(self_row, for_prev)).alias("r")).select("r.*")
     met = met.groupBy("key").agg(*(F.max(c).alias(c) for c in ("n_chars", "edited_sha256", "old", "new", "next")))
     return met.select(
         _id().alias(id_col),
         "n_chars",
         "edited_sha256",
-        printed(F.col("old")).alias("fingerprint"),
-        printed(F.col("new")).alias("edited_fingerprint"),
+        F.col("old").alias("fingerprint"),
+        F.col("new").alias("edited_fingerprint"),
         likeness(F.col("old"), F.col("new"), n).alias("near_edited"),
         likeness(F.col("old"), F.col("next"), n).alias("near_next"),
     )
