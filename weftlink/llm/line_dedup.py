@@ -4,9 +4,9 @@ A line is the set of its lower-cased words. A line goes if a line before it, in
 (doc_id, line number), has Jaccard similarity of at least num / den to it; the earlier
 line counts whether or not it goes itself. Lines without words stay.
 
-1. Words become longs whose numeric order is rarity: first the words that are not among
-   the ``TOP`` most frequent ones of the corpus (longer words, which are rarer, first),
-   then those by their count. Any order gives exact results; rarity makes groups small.
+1. Words become longs whose numeric order is rarity: a class, from the count of the most
+   frequent word of the hash bucket in the whole corpus, above the hash. Any order gives exact
+   results; rarity makes groups small. The table of classes has a fixed size.
 2. Equal sets are one line from then on, the first of them; the others go.
 3. Prefix filter: lines of enough overlap share one of their first n - ceil(n num/den) + 1
    words. Groups of lines with one such word are looked at by three filters: length,
@@ -16,7 +16,7 @@ line counts whether or not it goes itself. Lines without words stay.
    that settles nearly all lines at a cost linear in the group. Lines still open, in groups of
    more than three, then meet every earlier line of their groups, and all that pass are verified.
 
-Sets are compared by 50-bit word hashes. Defined results: null and empty texts have no
+Sets are compared by 56-bit word hashes. Defined results: null and empty texts have no
 lines with words; repeated rows are lines on their own, ordered arbitrarily among equal
 (doc_id, line number); rows equal in doc_id and text are judged alike; a null doc_id
 comes first; a document whose lines all go keeps its row with an empty text.
@@ -29,11 +29,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import cut, release, stored, table, words_of
+from weftlink.llm.common import WORD_BREAK, cut, release, stored, table
 
-TOP = 8192
-_BUCKETS = 1 << 16
-_HASH = (1 << 50) - 1
+BUCKETS = 1 << 16
+_HASH = (1 << 56) - 1
+#: Parity maps: the first goes with the postings, all of them judge candidate pairs.
+MAPS = 4
 _LOW = (1 << 32) - 1
 NO_ID = -(1 << 63)
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -53,29 +54,39 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.where(F.col("line").rlike(HAS_WORD)).select("doc", F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("copy")).alias("at"), "line")
 
 
-def _plain_codes(line):
-    """Distinct words as longs: shorter words higher, 50 bits of hash below."""
-    code = lambda w: F.shiftleft(63 - F.least(F.length(w), F.lit(63)).cast("long"), 50).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_HASH)))
-    return F.array_distinct(F.transform(words_of(F.lower(line)), code))
+def _hashes(line):
+    """56-bit hashes of the distinct words of a line that has some."""
+    words = F.split(F.btrim(F.lower(line), F.lit(" \t\n\x0b\f\r")), WORD_BREAK)
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(_HASH))))
 
 
-def frequent_words(lines: DataFrame) -> list[int]:
-    """Class by hash bucket: 0, or the logarithm of the count of the most frequent top word in it.
+def frequency_classes(docs: DataFrame, text_col: str) -> list[int]:
+    """Class by hash bucket: twice the binary logarithm of the count of the bucket's most frequent word.
 
-    At most ``TOP`` rows reach the driver and the table has a fixed size, whatever the corpus.
+    ``BUCKETS`` rows reach the driver, whatever the corpus; all its words are counted.
     """
-    counts = lines.select(F.explode(_plain_codes(F.col("line"))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    out = [0] * _BUCKETS
-    for row in counts.orderBy(F.desc("n"), "code").limit(TOP).collect():
-        at = row["code"] & (_BUCKETS - 1)
-        out[at] = max(out[at], min(127, 2 * row["n"].bit_length()))
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), WORD_BREAK)).alias("word"))
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(_HASH)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy(F.col("code").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.max("n").alias("n"))
+    out = [0] * BUCKETS
+    for row in most.select("bucket", F.least(F.lit(127), F.floor(F.log2("n") * 2)).alias("c")).collect():
+        out[row["bucket"]] = row["c"]
     return out
 
 
 def _codes(line, classes: list[int]):
-    """The line's words in order of rarity."""
-    lookup = F.from_json(F.lit(json.dumps(classes)), "array<bigint>")
-    return F.sort_array(F.transform(_plain_codes(line), lambda c: c.bitwiseOR(F.shiftleft(F.get(lookup, c.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")), 56))))
+    """The line's words as longs in order of rarity: class above the hash."""
+    lookup = F.from_json(F.lit(json.dumps(classes, separators=(",", ":"))), "array<bigint>")
+    return F.sort_array(F.transform(_hashes(line), lambda c: c.bitwiseOR(F.shiftleft(F.get(lookup, c.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56))))
+
+
+def _sketch(codes: str, k: int) -> F.Column:
+    """A 64-bit parity map of the words by six bits of their hashes."""
+    return F.expr(f"aggregate({codes}, 0L, (m, c) -> m ^ shiftleft(1L, int(shiftrightunsigned(c, {6 * k}) & 63)))")
+
+
+def _apart(x: str, y: str):
+    return F.bit_count(F.col(f"{x}.map").bitwiseXOR(F.col(f"{y}.map")))
 
 
 def _may_match(x: str, y: str, num: int, den: int):
@@ -84,8 +95,7 @@ def _may_match(x: str, y: str, num: int, den: int):
     total = nx + ny
     fits = den * F.least(nx, ny) >= num * F.greatest(nx, ny)
     by_place = (F.least(px, py) + 1 + F.least(nx - px, ny - py) - 1) * (num + den) >= num * total
-    apart = F.bit_count(F.col(f"{x}.map").bitwiseXOR(F.col(f"{y}.map")))
-    return fits & by_place & ((total - apart) * (num + den) >= 2 * num * total)
+    return fits & by_place & ((total - _apart(x, y)) * (num + den) >= 2 * num * total)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
@@ -94,23 +104,37 @@ def _verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFra
     asked = cut(x.union(y).distinct())
     few = asked.count() <= BROADCAST_LINES
     texts = lines.join(F.broadcast(asked) if few else asked, ["doc", "at"], "left_semi")
-    side = lambda s: texts.select(F.struct("doc", "at").alias(s), F.col("line").alias(f"{s}_line"))
+    # Sets are made once for each line, not for each pair.
+    sets = texts.select(F.struct("doc", "at").alias("id"), _hashes(F.col("line")).alias("set")).repartition("id")
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"{s}_set"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
-    sets = both.select("x", _plain_codes(F.col("x_line")).alias("p"), _plain_codes(F.col("y_line")).alias("q"))
-    common = F.size(F.array_intersect("p", "q"))
-    return sets.where(common * den >= num * (F.size("p") + F.size("q") - common)).select("x.doc", "x.at").distinct()
+    common = F.size(F.array_intersect("x_set", "y_set"))
+    return both.where(common * den >= num * (F.size("x_set") + F.size("y_set") - common)).select("x.doc", "x.at").distinct()
+
+
+def _close(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) that none of the parity maps rules out."""
+    maps = [f"map{k}" for k in range(1, MAPS)]
+    side = lambda s: reps.select(F.struct("doc", "at").alias(s), F.struct("n", *maps).alias(f"{s}_r"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    total = F.col("x_r.n") + F.col("y_r.n")
+    fits = F.lit(True)
+    for m in maps:
+        apart = F.bit_count(F.col(f"x_r.{m}").bitwiseXOR(F.col(f"y_r.{m}")))
+        fits = fits & ((total - apart) * (num + den) >= 2 * num * total)
+    return both.where(fits).select("x", "y")
 
 
 def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, copy, lines): the numbers, from 0, of the lines with words that stay in each document that has some."""
     spark = docs.sparkSession
     lines = _lines(docs, id_col, text_col)
-    classes = frequent_words(lines)
+    classes = frequency_classes(docs, text_col)
     codes = lines.select("doc", "at", _codes(F.col("line"), classes).alias("codes"))
     n = F.size("codes")
-    parity = F.expr("aggregate(codes, 0L, (m, c) -> m ^ shiftleft(1L, int(c & 63)))")
+    maps = [_sketch("codes", k).alias(f"map{k}" if k else "map") for k in range(MAPS)]
     prefix = F.slice("codes", 1, (n - F.ceil(n * num / den) + 1).cast("int"))
-    marked = codes.select(F.xxhash64("codes").alias("d1"), F.xxhash64("codes", F.lit(1)).alias("d2"), F.struct("doc", "at", n.alias("n"), parity.alias("map"), prefix.alias("prefix")).alias("line"))
+    marked = codes.select(F.xxhash64("codes").alias("d1"), F.xxhash64("codes", F.lit(1)).alias("d2"), F.struct("doc", "at", n.alias("n"), *maps, prefix.alias("prefix")).alias("line"))
     # The first line of each set stands for it.
     reps = stored(marked.groupBy("d1", "d2").agg(F.min("line").alias("line")).select("line.*"), "line-sets")
     release(spark)
@@ -119,21 +143,27 @@ def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     group = Window.partitionBy("token")
     order = group.orderBy("x.doc", "x.at")
     met = postings.select("token", "x", F.first("x").over(order).alias("head"), F.lag("x").over(order).alias("before"), F.count(F.lit(1)).over(group).alias("size"))
-    met = stored(met.where("size > 1"), "line-groups")
+    near = F.array(*(F.when(F.col("before").isNotNull() & _may_match("x", y, num, den), F.struct(_apart("x", y).alias("apart"), F.struct(f"{y}.doc", f"{y}.at").alias("y"))) for y in ("head", "before")))
+    near = F.array_distinct(F.filter(near, lambda y: y.isNotNull()))
+    # Kept: postings of groups of more than three, and what the first look at a group found.
+    met = met.where("size > 1").select("token", "x", near.alias("near"), "size").where("size > 3 or size(near) > 0")
+    met = stored(met, "line-groups")
     release(spark)
-    near = met.where(F.col("before").isNotNull()).select("x", F.explode(F.array("head", "before")).alias("y")).where(_may_match("x", "y", num, den))
-    apart = F.bit_count(F.col("x.map").bitwiseXOR(F.col("y.map")))
-    likely = near.groupBy("x.doc", "x.at").agg(F.min(F.struct(apart.alias("apart"), F.struct("y.doc", "y.at").alias("y"))).alias("best"))
-    likely = cut(likely.select(F.struct("doc", "at").alias("x"), "best.y"))
+    near = met.select(F.col("x.doc").alias("doc"), F.col("x.at").alias("at"), F.explode("near").alias("near"))
+    likely = near.groupBy("doc", "at").agg(F.min("near").alias("best"))
+    likely = cut(likely.select(F.struct("doc", "at").alias("x"), F.col("best.y").alias("y")))
     gone = cut(_verified(likely, lines, num, den))
     release(spark)
+    few = gone.count() <= BROADCAST_LINES
+    done = F.broadcast(gone) if few else gone
     rest = met.where("size > 3").select("token", "x", F.col("x.doc").alias("doc"), F.col("x.at").alias("at"))
-    still = rest.join(gone, ["doc", "at"], "left_anti")
+    still = rest.join(done, ["doc", "at"], "left_anti")
     earlier = F.struct("y.doc", "y.at") < F.struct("x.doc", "x.at")
-    pairs = still.select("token", "x").join(rest.select("token", F.col("x").alias("y")), "token").where(earlier & _may_match("x", "y", num, den)).select("x", "y")
-    pairs = pairs.union(near.select("x", "y", F.col("x.doc").alias("doc"), F.col("x.at").alias("at")).join(gone, ["doc", "at"], "left_anti").select("x", "y"))
-    pairs = pairs.select(F.struct("x.doc", "x.at").alias("x"), F.struct("y.doc", "y.at").alias("y")).distinct()
-    pairs = cut(pairs.join(likely, ["x", "y"], "left_anti"))
+    pairs = still.select("token", "x").join(rest.select("token", F.col("x").alias("y")), "token").where(earlier & _may_match("x", "y", num, den))
+    pairs = pairs.select(F.struct("x.doc", "x.at").alias("x"), F.struct("y.doc", "y.at").alias("y"))
+    pairs = pairs.union(near.join(done, ["doc", "at"], "left_anti").select(F.struct("doc", "at").alias("x"), F.col("near.y").alias("y"))).distinct()
+    pairs = cut(_close(pairs.join(likely, ["x", "y"], "left_anti"), reps, num, den))
+    release(spark)
     if not pairs.isEmpty():
         gone = gone.union(_verified(pairs, lines, num, den))
     stay = reps.select("doc", "at").join(gone, ["doc", "at"], "left_anti")
