@@ -1,19 +1,342 @@
-"""Queries over the driver's tables and the SQL with the same results."""
+"""Queries over the driver's tables.
+
+The tables hold no business records, so views make some of them: each document is an
+entity of one of three sources, named by its first line; orders give truth and found
+lists per customer. ``oracle`` holds SQL with the same results.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftlink import oracle
+from weftlink.functions.lists import digit_runs, jaccard
+from weftlink.functions.similarity import similarities
+from weftlink.functions.text import tokens
+from weftlink.operators import candidates, evaluate, model, profile, recall, validate
+from weftlink.operators.features import FEATURES, pair_features
+from weftlink.plans.resolve import counters, resolve, resolve_by_score, result_lists
+from weftlink.plans.settings import PREDICT, TRAIN, Settings
+from weftlink.sources.tables import normalise_entities, normalise_truth
+
+ENTITY_VIEW = """
+select concat('S', 1 + doc_id % 3, '-', doc_id) as entity_id, 1 + doc_id % 3 as source_no, doc_id,
+       substr(split_part(text, char(10), 1), 1, 60) as business_name,
+       substr(replace(text, char(10), ', '), 61, 80) as business_address, lang as country
+from {documents}
+"""
+
+
+def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ENTITY_VIEW, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised entities; ``pos`` is the place in the source."""
+    raw = raw_entities(spark, sf_dir)
+    return normalise_entities(raw, "source", ("source_no", F.col("doc_id").alias("pos"))).drop("source")
+
+
+def anchors_and_targets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    every = entities(spark, sf_dir)
+    return every.where("source_no = 1"), candidates.target_space(*((every.where(F.col("source_no") == n), n) for n in (2, 3)))
+
+
+def order_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source1_entity_id, truth, pred) per customer with orders."""
+    ids = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.col("o_orderkey")))), lambda x: F.concat(F.lit("S2-"), x.cast("string"))), ",")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.groupBy(F.concat(F.lit("S1-"), F.col("o_custkey").cast("string")).alias("source1_entity_id")).agg(ids(F.col("o_orderstatus") == "F").alias("truth"), ids(F.col("o_totalprice") > 150000).alias("pred"))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = order_lists(spark, sf_dir)
+    as_list = lambda c: lists.select("source1_entity_id", F.col(c).alias("matched_entity_ids"))
+    return evaluate.per_entity(as_list("truth"), as_list("pred"))
+
+
+def f05_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir).select("id", F.size("truth").alias("n_truth"), F.size("found").alias("n_found"), F.round("f05", 6).alias("f05"))
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+
+
+def f05_macro_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.report(_scores(spark, sf_dir)))
+
+
+def f05_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.macro_f05(_scores(spark, sf_dir)))
+
+
+def normalized_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = order_lists(spark, sf_dir)
+    return normalise_truth(lists.select("source1_entity_id", F.col("truth").alias("matched_entity_ids")))
+
+
+def match_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(profile.topology(normalized_truth(spark, sf_dir)))
+
+
+def match_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.histogram(normalized_truth(spark, sf_dir))
+
+
+def links_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.links_by_source(true_links(spark, sf_dir))
+
+
+def country_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.value_counts(raw_entities(spark, sf_dir), "country")
+
+
+def empty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.empty_cells(raw_entities(spark, sf_dir), ["business_name", "business_address", "country"])
+
+
+def prefix_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.prefix_integrity(raw_entities(spark, sf_dir), "S1-")
+
+
+def normalize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(spark, sf_dir).select("entity_id", "name_norm")
+
+
+def normalize_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(spark, sf_dir).select("entity_id", "country_norm")
+
+
+def normalize_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(spark, sf_dir).select("entity_id", "clean_address", F.array_join("street_tokens", " ").alias("street"), "city", "state", "postal_code", "raw_landmark")
+
+
+def blocking_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.keyed(entities(spark, sf_dir), TRAIN.keys, "entity_id")
+
+
+def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(candidates.size_summary(candidates.key_sizes(anchors_and_targets(spark, sf_dir)[1])))
+
+
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.index_stats(anchors_and_targets(spark, sf_dir)[1])
+
+
+def top_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.top_keys(candidates.key_sizes(anchors_and_targets(spark, sf_dir)[1]))
+
+
+#: Caps small enough to bite on the test tables.
+SMALL = Settings(cap=40, cap_take=10, max_candidates=15, min_score=35.0)
+
+
+def _joined(spark: SparkSession, sf_dir: str, mode: str = "first") -> DataFrame:
+    return candidates.shared_keys(*anchors_and_targets(spark, sf_dir), SMALL.with_(cap_mode=mode))
+
+
+def block_join_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined(spark, sf_dir).select("s1_entity_id", "target_entity_id")
+
+
+def block_join_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined(spark, sf_dir, "skip").select("s1_entity_id", "target_entity_id")
+
+
+def block_join_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined(spark, sf_dir, "truncate").select("s1_entity_id", "target_entity_id")
+
+
+def _simple_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with a score of plain expressions: Jaccard similarity of the names' words in percent."""
+    a, t = anchors_and_targets(spark, sf_dir)
+    side = lambda df, s: df.select(F.col("entity_id").alias(f"{s}_entity_id"), F.col("name_norm").alias(f"{s}_name"))
+    pairs = _joined(spark, sf_dir).join(side(a, "s1"), "s1_entity_id").join(side(t, "target"), "target_entity_id")
+    return pairs.withColumn("blocking_score", F.round(100 * jaccard(tokens(F.col("s1_name")), tokens(F.col("target_name"))), 6))
+
+
+def top_k_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.best(_simple_scores(spark, sf_dir), SMALL.with_(max_candidates=5, min_score=10.0)).select("s1_entity_id", "target_entity_id", "blocking_score", "rank")
+
+
+def true_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s1_entity_id, target_entity_id): entities of other sources with the anchor's very name."""
+    every = raw_entities(spark, sf_dir).where("business_name <> ''")
+    a = every.where("source_no = 1").select(F.col("entity_id").alias("s1_entity_id"), "business_name")
+    t = every.where("source_no <> 1").select(F.col("entity_id").alias("target_entity_id"), "business_name")
+    return a.join(t, "business_name").select("s1_entity_id", "target_entity_id")
+
+
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = candidates.best(_simple_scores(spark, sf_dir), SMALL.with_(max_candidates=30, min_score=0.0))
+    return _rounded(recall.recall_at(true_links(spark, sf_dir), ranked))
+
+
+def raw_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(recall.coverage(true_links(spark, sf_dir), _joined(spark, sf_dir)))
+
+
+def missed_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = candidates.best(_simple_scores(spark, sf_dir), SMALL.with_(max_candidates=30, min_score=0.0))
+    return recall.missed(true_links(spark, sf_dir), ranked, 5)
+
+
+def candidate_count_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(recall.candidate_counts(anchors_and_targets(spark, sf_dir)[0], _joined(spark, sf_dir)))
+
+
+def agreement_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, t = anchors_and_targets(spark, sf_dir)
+    return profile.agreement(profile.true_pairs(true_links(spark, sf_dir), a, t, ["name_norm", "country_norm", "postal_code", "city"]))
+
+
+def key_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(recall.key_recall(true_links(spark, sf_dir), *anchors_and_targets(spark, sf_dir)))
+
+
+def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = true_links(spark, sf_dir).groupBy(F.col("s1_entity_id").alias("id")).agg(F.collect_list("target_entity_id").alias("truth"))
+    return model.label_pairs(_joined(spark, sf_dir).select("s1_entity_id", "target_entity_id"), truth)
+
+
+def class_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.class_weight(label_join(spark, sf_dir)))
+
+
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and assumed hits over the plain score as a probability."""
+    pairs = _simple_scores(spark, sf_dir).select("s1_entity_id", "target_entity_id", (F.col("blocking_score") / 100).alias("prob"))
+    truth = true_links(spark, sf_dir).groupBy(F.col("s1_entity_id").alias("id")).agg(F.collect_list("target_entity_id").alias("truth"))
+    pairs = model.label_pairs(pairs, truth).withColumnRenamed("s1_entity_id", "id")
+    ids = raw_entities(spark, sf_dir).where("source_no = 1").select(F.col("entity_id").alias("id"))
+    sizes = ids.join(truth, "id", "left").select("id", F.coalesce(F.size("truth"), F.lit(0)).alias("n_truth"))
+    sizes = sizes.withColumn("n_truth", F.greatest("n_truth", F.lit(0)))
+    exact, assumed = (evaluate.threshold_sweep(pairs, sizes, exact=e) for e in (True, False))
+    return _rounded(exact.join(assumed.withColumnRenamed("macro_f05", "assumed_f05"), "threshold"))
+
+
+def simple_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features that need no edit distance."""
+    pairs = _wide(spark, sf_dir)
+    made = pair_features(pairs)
+    keep = [f for f in FEATURES if "ratio" not in f or f == "name_len_ratio"]
+    return made.select("s1_entity_id", "target_entity_id", *(F.round(F.col(f).cast("double"), 5).alias(f) for f in keep if f not in ("name_x_addr", "blocking_score")))
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, t = anchors_and_targets(spark, sf_dir)
+    names = ("name", "address", "city", "postal", "country")
+    side = lambda df, s: df.select(F.col("entity_id").alias(f"{s}_entity_id"), *(F.col(f).alias(f"{s}_{n}") for f, n in zip(candidates.FIELDS, names, strict=True)))
+    return _joined(spark, sf_dir).join(side(a, "s1"), "s1_entity_id").join(side(t, "target"), "target_entity_id").withColumn("blocking_score", F.lit(50.0))
+
+
+def digit_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _wide(spark, sf_dir)
+    d = [digit_runs(F.coalesce(F.col(f"{s}_address"), F.lit(""))) for s in ("s1", "target")]
+    return both.select("s1_entity_id", "target_entity_id", F.size(d[0]).alias("n_a"), F.size(d[1]).alias("n_b"), F.round(jaccard(*d), 6).alias("digits_jaccard"))
+
+
+def pair_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four measures of the names of true links."""
+    a, t = anchors_and_targets(spark, sf_dir)
+    both = profile.true_pairs(true_links(spark, sf_dir).union(_joined(spark, sf_dir).select("s1_entity_id", "target_entity_id")).distinct(), a, t, ["name_norm"])
+    sims = similarities(F.col("a_name_norm"), F.col("b_name_norm"), "ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio")
+    return both.select("s1_entity_id", "target_entity_id", sims.alias("s")).select("s1_entity_id", "target_entity_id", "s.*")
+
+
+def top_k_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.candidate_pairs(*anchors_and_targets(spark, sf_dir), PREDICT)
+
+
+def features_31(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_features(top_k_candidates(spark, sf_dir))
+
+
+def result_lists_by_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = candidates.best(_simple_scores(spark, sf_dir), SMALL.with_(max_candidates=5, min_score=10.0))
+    return result_lists(anchors_and_targets(spark, sf_dir)[0], pairs.withColumn("match", F.col("blocking_score") >= 60))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Blocking, scoring, ranking and result lists."""
+    return resolve_by_score(*anchors_and_targets(spark, sf_dir))
+
+
+def inference_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counters(result_lists_by_jaccard(spark, sf_dir))
+
+
+def gbt_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training with tuned threshold, then result lists, on the entity views."""
+    a, t = anchors_and_targets(spark, sf_dir)
+    links = true_links(spark, sf_dir).groupBy("s1_entity_id").agg(F.array_join(F.sort_array(F.collect_list("target_entity_id")), ",").alias("m"))
+    truth = links.select(F.col("s1_entity_id").alias("source1_entity_id"), F.col("m").alias("matched_entity_ids"))
+    rows, lists = model.training_set(a, t, truth, sample_size=0)
+    fitted, threshold, _ = model.train_and_tune(rows, lists, folds=2, trees=8)
+    return resolve(a, t, fitted, threshold)
+
+
+def _submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists with faults: repeated ids and rows, wrong prefixes, self matches."""
+    lists = order_lists(spark, sf_dir).select(F.col("source1_entity_id").alias("id"), F.when(F.col("pred") == "", F.array().cast("array<string>")).otherwise(F.split("pred", ",")).alias("ids"))
+    n = F.substring("id", 4, 20).cast("long")
+    faulty = F.when(n % 7 == 0, F.concat("ids", F.slice("ids", 1, 1))).when(n % 11 == 0, F.concat("ids", F.array(F.lit("X-1")))).when(n % 13 == 0, F.concat("ids", F.array("id"))).otherwise(F.col("ids"))
+    bad = lists.select("id", faulty.alias("ids"))
+    return bad.union(bad.where(n % 17 == 0)).where(n % 19 != 0)
+
+
+def validate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rule, id) of every finding on faulty lists."""
+    lists = _submission(spark, sf_dir)
+    required = order_lists(spark, sf_dir).select(F.col("source1_entity_id").alias("id")).where(F.substring("id", 4, 20).cast("long") % 23 != 0)
+    targets = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 29 <> 0").select(F.concat(F.lit("S2-"), F.col("o_orderkey").cast("string")).alias("id"))
+    candidate = order_lists(spark, sf_dir).select(F.col("source1_entity_id").alias("id"), F.split("truth", ",").alias("ids"))
+    found = {
+        "duplicate_anchor": validate.duplicate_anchors(lists),
+        "repeated_id": validate.repeated_in_list(lists),
+        "self_match": validate.self_matches(lists),
+        "wrong_prefix": validate.wrong_prefixes(lists),
+        "unknown_target": validate.unknown_targets(lists, targets),
+        "missing_anchor": validate.missing_anchors(lists, required),
+        "unexpected_anchor": validate.unexpected_anchors(lists, required),
+        "not_candidate": validate.not_candidates(lists, candidate),
+    }
+    out = None
+    for rule, df in found.items():
+        part = df.select(F.lit(rule).alias("rule"), "id")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def validate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.row_counts(_submission(spark, sf_dir))
+
+
+def sample_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.sample_rows(raw_entities(spark, sf_dir).select("entity_id"), 100, "entity_id")
+
+
+def sample_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.sample_links(normalized_truth(spark, sf_dir))
+
+
+NAMES = (
+    f05_entity, f05_macro, f05_macro_report, normalized_truth, match_topology, match_histogram, links_by_source, country_counts,
+    empty_cells, prefix_integrity, normalize_name, normalize_country, normalize_address, blocking_keys, block_sizes,
+    index_stats, top_keys, block_join_capped, block_join_skip, block_join_truncate, top_k_jaccard, true_links, recall_at_k, raw_coverage,
+    missed_at_k, candidate_count_stats, agreement_stats, key_recall, label_join, class_weight, threshold_sweep,
+    simple_features, digit_jaccard, pair_similarities, top_k_candidates, features_31, result_lists_by_jaccard,
+    inference_counters, flagship, gbt_resolve, validate_findings, validate_counts, sample_anchors, sample_links,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.queries()
