@@ -25,6 +25,7 @@ comes first; a document whose lines all go keeps its row with an empty text.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,10 @@ from weftlink.llm.common import WORD_BREAK, cut, release, stored, table
 
 BUCKETS = 1 << 16
 _HASH = (1 << 56) - 1
-#: Parity maps: the first goes with the postings, all of them judge candidate pairs.
+#: Parity maps that judge candidate pairs, beside the one that goes with the postings.
 MAPS = 4
+#: Parts of the tokens that are worked on one after the other: so much less shuffled data is on disk at once.
+PASSES = 4
 _LOW = (1 << 32) - 1
 NO_ID = -(1 << 63)
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -94,37 +97,77 @@ def _may_match(x: str, y: str, num: int, den: int):
     nx, ny, px, py = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.pos", f"{y}.pos"))
     total = nx + ny
     fits = den * F.least(nx, ny) >= num * F.greatest(nx, ny)
-    by_place = (F.least(px, py) + 1 + F.least(nx - px, ny - py) - 1) * (num + den) >= num * total
+    # The pair's own overlap bound: its first shared word is early enough in both, and enough words can follow it.
+    least = F.ceil(total * num / (num + den))
+    by_place = (px <= nx - least) & (py <= ny - least) & (F.least(px, py) + F.least(nx - px, ny - py) >= least)
     return fits & by_place & ((total - _apart(x, y)) * (num + den) >= 2 * num * total)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
-    """The later lines (doc, at) of those pairs (x, y) that reach the threshold; pairs are already computed."""
+def _asked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, line) of the lines in pairs (x, y), which are already computed."""
     x, y = (pairs.select(f"{s}.doc", f"{s}.at") for s in "xy")
     asked = cut(x.union(y).distinct())
     few = asked.count() <= BROADCAST_LINES
-    texts = lines.join(F.broadcast(asked) if few else asked, ["doc", "at"], "left_semi")
+    return lines.join(F.broadcast(asked) if few else asked, ["doc", "at"], "left_semi").select(F.struct("doc", "at").alias("id"), "line")
+
+
+def _both(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs with what was found for either line, as x_<name> and y_<name>."""
+    found = found.repartition("id")
+    for s in "xy":
+        pairs = pairs.join(found.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in found.columns if c != "id")), s)
+    return pairs
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
+    """The later lines (doc, at) of those pairs that reach the threshold on the full sets."""
     # Sets are made once for each line, not for each pair.
-    sets = texts.select(F.struct("doc", "at").alias("id"), _hashes(F.col("line")).alias("set")).repartition("id")
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"{s}_set"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    both = _both(pairs, _asked(pairs, lines).select("id", _hashes(F.col("line")).alias("set")))
     common = F.size(F.array_intersect("x_set", "y_set"))
     return both.where(common * den >= num * (F.size("x_set") + F.size("y_set") - common)).select("x.doc", "x.at").distinct()
 
 
-def _close(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) that none of the parity maps rules out."""
-    maps = [f"map{k}" for k in range(1, MAPS)]
-    side = lambda s: reps.select(F.struct("doc", "at").alias(s), F.struct("n", *maps).alias(f"{s}_r"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-    total = F.col("x_r.n") + F.col("y_r.n")
+def _close(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that none of the further parity maps rules out."""
+    maps = [f"map{k}" for k in range(1, MAPS + 1)]
+    sets = _asked(pairs, lines).select("id", _hashes(F.col("line")).alias("set"))
+    both = _both(pairs, sets.select("id", F.size("set").alias("n"), *(_sketch("set", k).alias(m) for k, m in enumerate(maps, 1))))
+    total = F.col("x_n") + F.col("y_n")
     fits = F.lit(True)
     for m in maps:
-        apart = F.bit_count(F.col(f"x_r.{m}").bitwiseXOR(F.col(f"y_r.{m}")))
-        fits = fits & ((total - apart) * (num + den) >= 2 * num * total)
+        fits = fits & ((total - F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}")))) * (num + den) >= 2 * num * total)
     return both.where(fits).select("x", "y")
 
 
+def _each(spark: SparkSession):
+    """The passes; what one has shuffled is let go before the next."""
+    for k in range(PASSES):
+        yield k
+        release(spark)
+
+
+def _part(k: int):
+    return F.pmod(F.col("token"), F.lit(PASSES)) == k
+
+
+def _groups(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, x, near, size): postings of groups of more than three, and what a first look at a group finds."""
+    postings = postings.select("token", F.struct("doc", "at", "n", "map", "pos").alias("x"))
+    group = Window.partitionBy("token")
+    order = group.orderBy("x.doc", "x.at")
+    met = postings.select("token", "x", F.first("x").over(order).alias("head"), F.lag("x").over(order).alias("before"), F.count(F.lit(1)).over(group).alias("size"))
+    seen = (F.when(F.col("before").isNotNull() & _may_match("x", y, num, den), F.struct(_apart("x", y).alias("apart"), F.struct(f"{y}.doc", f"{y}.at").alias("y"))) for y in ("head", "before"))
+    near = F.array_distinct(F.filter(F.array(*seen), lambda y: y.isNotNull()))
+    return met.where("size > 1").select("token", "x", near.alias("near"), "size").where("size > 3 or size(near) > 0")
+
+
+def _in_groups(still: DataFrame, rest: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (x, y) of open lines with earlier lines of their groups that pass the filters."""
+    earlier = F.struct("y.doc", "y.at") < F.struct("x.doc", "x.at")
+    pairs = still.select("token", "x").join(rest.select("token", F.col("x").alias("y")), "token").where(earlier & _may_match("x", "y", num, den))
+    return pairs.select(F.struct("x.doc", "x.at").alias("x"), F.struct("y.doc", "y.at").alias("y")).distinct()
+
+
 def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, copy, lines): the numbers, from 0, of the lines with words that stay in each document that has some."""
     spark = docs.sparkSession
@@ -132,23 +175,13 @@ def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     classes = frequency_classes(docs, text_col)
     codes = lines.select("doc", "at", _codes(F.col("line"), classes).alias("codes"))
     n = F.size("codes")
-    maps = [_sketch("codes", k).alias(f"map{k}" if k else "map") for k in range(MAPS)]
     prefix = F.slice("codes", 1, (n - F.ceil(n * num / den) + 1).cast("int"))
-    marked = codes.select(F.xxhash64("codes").alias("d1"), F.xxhash64("codes", F.lit(1)).alias("d2"), F.struct("doc", "at", n.alias("n"), *maps, prefix.alias("prefix")).alias("line"))
+    marked = codes.select(F.xxhash64("codes").alias("d1"), F.xxhash64("codes", F.lit(1)).alias("d2"), F.struct("doc", "at", n.alias("n"), _sketch("codes", 0).alias("map"), prefix.alias("prefix")).alias("line"))
     # The first line of each set stands for it.
     reps = stored(marked.groupBy("d1", "d2").agg(F.min("line").alias("line")).select("line.*"), "line-sets")
     release(spark)
-    postings = reps.select(F.posexplode("prefix").alias("pos", "token"), "doc", "at", "n", "map")
-    postings = postings.select("token", F.struct("doc", "at", "n", "map", "pos").alias("x"))
-    group = Window.partitionBy("token")
-    order = group.orderBy("x.doc", "x.at")
-    met = postings.select("token", "x", F.first("x").over(order).alias("head"), F.lag("x").over(order).alias("before"), F.count(F.lit(1)).over(group).alias("size"))
-    near = F.array(*(F.when(F.col("before").isNotNull() & _may_match("x", y, num, den), F.struct(_apart("x", y).alias("apart"), F.struct(f"{y}.doc", f"{y}.at").alias("y"))) for y in ("head", "before")))
-    near = F.array_distinct(F.filter(near, lambda y: y.isNotNull()))
-    # Kept: postings of groups of more than three, and what the first look at a group found.
-    met = met.where("size > 1").select("token", "x", near.alias("near"), "size").where("size > 3 or size(near) > 0")
-    met = stored(met, "line-groups")
-    release(spark)
+    groups = [stored(_groups(reps.select(F.posexplode("prefix").alias("pos", "token"), "doc", "at", "n", "map").where(_part(k)), num, den), "line-groups") for k in _each(spark)]
+    met = reduce(DataFrame.union, groups)
     near = met.select(F.col("x.doc").alias("doc"), F.col("x.at").alias("at"), F.explode("near").alias("near"))
     likely = near.groupBy("doc", "at").agg(F.min("near").alias("best"))
     likely = cut(likely.select(F.struct("doc", "at").alias("x"), F.col("best.y").alias("y")))
@@ -157,12 +190,11 @@ def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     few = gone.count() <= BROADCAST_LINES
     done = F.broadcast(gone) if few else gone
     rest = met.where("size > 3").select("token", "x", F.col("x.doc").alias("doc"), F.col("x.at").alias("at"))
-    still = rest.join(done, ["doc", "at"], "left_anti")
-    earlier = F.struct("y.doc", "y.at") < F.struct("x.doc", "x.at")
-    pairs = still.select("token", "x").join(rest.select("token", F.col("x").alias("y")), "token").where(earlier & _may_match("x", "y", num, den))
-    pairs = pairs.select(F.struct("x.doc", "x.at").alias("x"), F.struct("y.doc", "y.at").alias("y"))
-    pairs = pairs.union(near.join(done, ["doc", "at"], "left_anti").select(F.struct("doc", "at").alias("x"), F.col("near.y").alias("y"))).distinct()
-    pairs = cut(_close(pairs.join(likely, ["x", "y"], "left_anti"), reps, num, den))
+    found = [cut(_in_groups(rest.join(done, ["doc", "at"], "left_anti").where(_part(k)), rest.where(_part(k)), num, den)) for k in _each(spark)]
+    pairs = reduce(DataFrame.union, found)
+    pairs = pairs.union(near.join(done, ["doc", "at"], "left_anti").select(F.struct("doc", "at").alias("x"), F.col("near.y").alias("y")))
+    pairs = cut(pairs.join(likely, ["x", "y"], "left_anti").distinct())
+    pairs = cut(_close(pairs, lines, num, den))
     release(spark)
     if not pairs.isEmpty():
         gone = gone.union(_verified(pairs, lines, num, den))
