@@ -118,15 +118,18 @@ def fit_rates(members: DataFrame, shares: list[float], budget: float | None = No
     return steps
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, growth: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix_documents(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, growth: float = 1.0, id_col: str = "doc_id", text_col: str = "text", relative: bool = False) -> DataFrame:
     """(id, n_tokens, p_<domain> ..., rate, copies) by document id.
 
-    growth: expected tokens after mixing as a multiple of those before it.
+    growth: expected tokens after mixing as a multiple of those before it; relative: targets
+    are not shares of these but multiples of what each domain has before.
     """
     domains = sorted(targets)
     members = stored(posteriors(docs, domain_of(labels), domains, id_col, text_col), "members")
-    total = members.agg(F.sum("tokens")).first()[0] or 0
-    steps = fit_rates(members, [targets[d] for d in domains], growth * total)
+    now = members.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col(f"p_{i}")) for i in range(len(domains)))).first()
+    total = float(now[0] or 0) * growth
+    shares = [targets[d] * (growth * (now[1 + i] or 0.0) / max(total, 1.0) if relative else 1.0) for i, d in enumerate(domains)]
+    steps = fit_rates(members, shares, total)
     found = members.select("key", "tokens", *(F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)), _rate(steps).alias("rate"))
     unit = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 32)) / F.lit(float(1 << 32))
     return found.select(F.nullif("key", F.lit(NO_ID)).alias(id_col), F.col("tokens").alias("n_tokens"), *(f"p_{d}" for d in domains), "rate", F.floor(F.col("rate") + unit).alias("copies"))

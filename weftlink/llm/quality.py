@@ -154,6 +154,14 @@ def judge_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", tex
     return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~method_rejects(cutoffs, stratum))
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: str = "text", max_loss: float = 0.02, error: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` that stay, without a shuffle of texts: those with good labels fit the cutoffs, then each row is measured in passing."""
+    measured = stored(text_measures(docs, ["doc_id", stratum], text_col), "measures")
+    cutoffs = fit_cutoffs(measured, labels, stratum, max_loss, error)
+    whole = text_measures(docs, docs.columns, text_col)
+    return whole.where(~base_failed() & ~method_rejects(cutoffs, stratum)).select(*docs.columns)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     judged = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
