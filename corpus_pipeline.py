@@ -6,8 +6,8 @@ result to the shared folder and reads it again, so a lost executor costs a stage
 
 Documents whose every line with a word repeats an earlier line are dropped by the line stage, as
 nothing of them is left; n_chars follows the text. Mixing writes a document as often as
-its copies say; its targets lean to the high-quality domain, and growth above 1 keeps the
-rates of clean documents at 1 or more.
+its copies say; its targets are multiples of what each domain has: a little over 1 for the
+high-quality domain, which keeps clean documents at a rate of 1 or more, and less for others.
 """
 
 from __future__ import annotations
@@ -17,29 +17,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import shared_dir, table
+from weftlink.llm.common import shared_dir, stored, table
 from weftlink.llm.line_dedup import HAS_WORD, dedup_lines
 from weftlink.llm.mixing import mix_documents
 from weftlink.llm.near_dup import link_documents
 from weftlink.llm.packing import pack_documents
-from weftlink.llm.quality import judge_quality
+from weftlink.llm.quality import kept_documents
 from weftlink.llm.tokens import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-TARGETS = {"high": 0.93, "low": 0.02, "toxic": 0.05}
-GROWTH = 1.08
+TARGETS = {"high": 1.1, "low": 0.3, "toxic": 0.3}
+#: So many ids whose verdict is not the usual one may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
-def _matched(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``docs`` with the verdicts of their ids; a null id has its own."""
-    return docs.join(verdicts.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select(*(c for c in COLUMNS), *(c for c in verdicts.columns if c != "doc_id"))
+def _matched(docs: DataFrame, verdicts: DataFrame, usual: int) -> DataFrame:
+    """``docs`` with ``_n``, the verdict (id, n) of its id; only verdicts other than the usual one are joined."""
+    other = stored(verdicts.where(F.col("n") != usual).select(F.col("id").alias("_id"), F.col("n").alias("_n")), "verdicts")
+    few = other.count() <= BROADCAST_IDS
+    found = docs.select(*COLUMNS).join(F.broadcast(other) if few else other, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return found.select(*COLUMNS, F.coalesce("_n", F.lit(usual)).alias("_n"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; rows of one id are judged as one if any of them is kept."""
-    judged = judge_quality(docs, table(spark, sf_dir, "labels"))
-    verdicts = judged.groupBy("doc_id").agg(F.max("kept").alias("_kept"))
-    return _matched(docs, verdicts).where("_kept").select(*COLUMNS)
+    """Documents that the quality rules keep, each row on its own."""
+    return kept_documents(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,15 +52,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
-    verdicts = link_documents(docs).groupBy(F.col("id").alias("doc_id")).agg(F.max("kept").alias("_kept"))
-    return _matched(docs, verdicts).where("_kept").select(*COLUMNS)
+    verdicts = link_documents(docs).groupBy("id").agg(F.max(F.col("kept").cast("int")).alias("n"))
+    return _matched(docs, verdicts, 1).where("_n > 0").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix to target weights has it."""
-    copies = mix_documents(docs, table(spark, sf_dir, "labels"), TARGETS, GROWTH).select("doc_id", F.col("copies").alias("_copies"))
-    times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return _matched(docs, copies).where("_copies > 0").select(*COLUMNS, times.alias("_time")).select(*COLUMNS)
+    copies = mix_documents(docs, table(spark, sf_dir, "labels"), TARGETS, relative=True)
+    found = _matched(docs, copies.select(F.col("doc_id").alias("id"), F.col("copies").cast("int").alias("n")), 1).where("_n > 0")
+    return found.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_time")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
