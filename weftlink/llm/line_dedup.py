@@ -42,7 +42,7 @@ _LOW = (1 << 32) - 1
 NO_ID = -(1 << 63)
 HAS_WORD = r"[^\x20\x09-\x0D]"
 #: So many lines may be broadcast to pick out their texts; more are joined by a shuffle.
-BROADCAST_LINES = 200_000
+BROADCAST_LINES = 500_000
 
 
 def _key(id_col: str, text_col: str) -> list:
@@ -53,7 +53,9 @@ def _key(id_col: str, text_col: str) -> list:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, at, line) of every line that has a word; ``at`` is its number above the 32 bits of ``copy``."""
-    found = docs.select(*_key(id_col, text_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
+    # The text is hashed below the split; in one projection it would be hashed again for each line.
+    own = docs.select(*_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = own.select("doc", "copy", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return found.where(F.col("line").rlike(HAS_WORD)).select("doc", F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("copy")).alias("at"), "line")
 
 
