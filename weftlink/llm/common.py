@@ -137,7 +137,7 @@ def is_space(raw: np.ndarray) -> np.ndarray:
     return (raw == 32) | ((raw >= 9) & (raw <= 13))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``most`` bytes of ``column`` each; a longer text makes a piece of its own."""
     sizes = np.fromiter((len(x) for x in _views(batch.column(column))), np.int64, len(batch))
     i = 0

@@ -23,7 +23,7 @@ def _least(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of the edges (a, b); component is the smallest node reached."""
+    """(node, component) for every node of the edges (a, b) but the smallest of each component, which is the component's name."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     parts = max(1, -(-now.count() // EDGES))

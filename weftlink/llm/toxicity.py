@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import slices, stored, table, text_bytes, words_of
+from weftlink.llm.common import BLOCK, slices, stored, table, text_bytes, words_of
 from weftlink.llm.toxic_net import Windows, logits, train
 
 SAMPLE = 2500
@@ -91,7 +91,7 @@ def score_texts(docs: DataFrame, net: dict[str, np.ndarray], id_col: str = "doc_
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = own.value["scale"]
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", 4 * BLOCK):
                 best = _best(own.value, *text_bytes(part.column("_text"), True))
                 p = np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(a * np.where(np.isfinite(best), best, 0) + b, -60, 60))), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(p)], names=[id_col, "score"])
