@@ -7,7 +7,7 @@ sample is held back to turn the highest window's logit into a probability. Scori
 over the texts without a shuffle; a document's score comes from the highest of all its windows.
 
 Defined results: null or empty texts and texts without words score 0; repeated rows score
-alike; without labelled rows of both kinds every text has the score of the one kind, or 0.
+alike (to rounding: sums of floats depend on what is scored together); without labelled rows of both kinds every text has the score of the one kind, or 0.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def score_texts(docs: DataFrame, net: dict[str, np.ndarray], id_col: str = "doc_
             for part in slices(batch, "_text", 4 * BLOCK):
                 best = _best(own.value, *text_bytes(part.column("_text"), True))
                 p = np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(a * np.where(np.isfinite(best), best, 0) + b, -60, 60))), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(p)], names=[id_col, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(np.round(p, 6))], names=[id_col, "score"])
 
     return src.mapInArrow(score, f"`{id_col}` {kind}, score double")
 
