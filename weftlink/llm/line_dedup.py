@@ -114,8 +114,12 @@ def _asked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _both(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs with what was found for either line, as x_<name> and y_<name>."""
-    found = found.repartition("id")
+    """The pairs with what was found for either line, as x_<name> and y_<name>.
+
+    What was found is written first: else the join's not-null filters would move below the
+    choice of lines and make it for every line of the corpus.
+    """
+    found = stored(found, "line-found")
     for s in "xy":
         pairs = pairs.join(found.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in found.columns if c != "id")), s)
     return pairs
@@ -130,15 +134,13 @@ def _verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFra
 
 
 def _close(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that none of the further parity maps rules out."""
+    """(x, y, apart): the pairs that none of the further parity maps rules out, with the bits in which the maps differ."""
     maps = [f"map{k}" for k in range(1, MAPS + 1)]
     sets = _asked(pairs, lines).select("id", _hashes(F.col("line")).alias("set"))
     both = _both(pairs, sets.select("id", F.size("set").alias("n"), *(_sketch("set", k).alias(m) for k, m in enumerate(maps, 1))))
+    bits = [F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}"))) for m in maps]
     total = F.col("x_n") + F.col("y_n")
-    fits = F.lit(True)
-    for m in maps:
-        fits = fits & ((total - F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}")))) * (num + den) >= 2 * num * total)
-    return both.where(fits).select("x", "y")
+    return both.where((total - F.greatest(*bits)) * (num + den) >= 2 * num * total).select("x", "y", sum(bits[1:], bits[0]).alias("apart"))
 
 
 def _each(spark: SparkSession):
@@ -198,8 +200,13 @@ def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     pairs = cut(pairs.join(likely, ["x", "y"], "left_anti").distinct())
     pairs = cut(_close(pairs, lines, num, den))
     release(spark)
-    if not pairs.isEmpty():
-        gone = gone.union(_verified(pairs, lines, num, den))
+    # The closest partner of a line settles it mostly; its other pairs are verified only if it does not.
+    closest = cut(pairs.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best")).select("x", "best.y"))
+    for tried in (True, False):
+        now = closest if tried else cut(pairs.select("x", "y", "x.doc", "x.at").join(gone, ["doc", "at"], "left_anti").select("x", "y").join(closest, ["x", "y"], "left_anti"))
+        if not now.isEmpty():
+            gone = cut(gone.union(_verified(now, lines, num, den)))
+        release(spark)
     stay = reps.select("doc", "at").join(gone, ["doc", "at"], "left_anti")
     stay = stay.groupBy("doc", F.col("at").bitwiseAND(F.lit(_LOW)).alias("copy")).agg(F.sort_array(F.collect_list(F.shiftright("at", 32).cast("int"))).alias("lines"))
     return stored(stay, "line-stay")
