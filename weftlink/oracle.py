@@ -137,7 +137,7 @@ SCORED = _capped() + LINKS + f""", scored as (
 def _ranked(k: int, least: float) -> str:
     return SCORED + f""", best as (
   select * from (
-    select *, row_number() over (partition by s1_entity_id order by blocking_score desc, source_id, pos, target_entity_id) as rank
+    select *, row_number() over (partition by s1_entity_id order by blocking_score desc, source_id, pos, target_entity_id)::int as rank
     from scored where blocking_score >= {least}
   ) where rank <= {k}
 )"""
@@ -159,7 +159,7 @@ SETS = LISTS + """, sets as (
             else 1.25 * tp / (0.25 * len(t) + len(p)) end::double as f05 from hit
 )"""
 COUNTS = LISTS + """, counts as (
-  select source1_entity_id, truth as matched_entity_ids, case when truth = '' then 0 else len(string_split(truth, ',')) end as match_count from lists
+  select source1_entity_id, truth as matched_entity_ids, (case when truth = '' then 0 else len(string_split(truth, ',')) end)::int as match_count from lists
 )"""
 FAULTY = LISTS + """, base as (
   select source1_entity_id as id, case when pred = '' then []::varchar[] else string_split(pred, ',') end as ids,
@@ -218,7 +218,7 @@ def _feature_sql() -> str:
 
 def queries() -> dict[str, str]:
     out = {
-        "f05_entity": _with(SETS, "select id, len(t) as n_truth, len(p) as n_found, round(f05, 6) as f05 from ent_f"),
+        "f05_entity": _with(SETS, "select id, len(t)::int as n_truth, len(p)::int as n_found, round(f05, 6) as f05 from ent_f"),
         "f05_macro": _with(SETS, "select round(coalesce(avg(f05), 0), 6) as macro_f05 from ent_f"),
         "f05_macro_report": _with(
             SETS,
@@ -301,7 +301,7 @@ select threshold, round(avg(case when n_truth = 0 and n = 0 then 1.0 when n_trut
   select s1_entity_id, target_entity_id, list_distinct(regexp_extract_all(a.clean_address, '(\p{{Nd}}+)', 1)) as x, list_distinct(regexp_extract_all(t.clean_address, '(\p{{Nd}}+)', 1)) as y
   from met m join ent a on a.entity_id = m.s1_entity_id join ent t on t.entity_id = m.target_entity_id
 )
-select s1_entity_id, target_entity_id, len(x) as n_a, len(y) as n_b, round({_jaccard("x", "y")}, 6)::double as digits_jaccard from d""",
+select s1_entity_id, target_entity_id, len(x)::int as n_a, len(y)::int as n_b, round({_jaccard("x", "y")}, 6)::double as digits_jaccard from d""",
         ),
         "result_lists_by_jaccard": _with(
             _ranked(5, 10),
