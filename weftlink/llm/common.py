@@ -54,11 +54,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """As ``cut`` by a compressed Parquet table in the shared folder: for wide rows."""
+    """As ``cut`` by a compressed Parquet table in the shared folder: for wide rows. ``discard`` removes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftlink-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``stored`` that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import WORD_BREAK, cut, release, stored, table
+from weftlink.llm.common import WORD_BREAK, cut, discard, release, stored, table
 
 BUCKETS = 1 << 16
 _HASH = (1 << 56) - 1
@@ -198,6 +198,7 @@ def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     pairs = reduce(DataFrame.union, found)
     pairs = pairs.union(near.join(done, ["doc", "at"], "left_anti").select(F.struct("doc", "at").alias("x"), F.col("near.y").alias("y")))
     pairs = cut(pairs.join(likely, ["x", "y"], "left_anti").distinct())
+    discard(*groups)
     pairs = cut(_close(pairs, lines, num, den))
     release(spark)
     # The closest partner of a line settles it mostly; its other pairs are verified only if it does not.
