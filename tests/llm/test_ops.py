@@ -446,3 +446,25 @@ def test_commits_are_idempotent(spark, tmp_path):
     assert {tuple(r) for r in log.totals().collect()} == {("s", "en", "v", 2, 7), ("s", None, "v", -1, -4)}
     again = rollups.Rollup(spark, str(tmp_path / "r"))
     assert not again.commit("a", batch) and again.totals().count() == 2
+
+
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op3_near_duplicates", "op5_url_rules", "op9_quality_rules"])
+def test_sql(spark, name):
+    """The registered queries against their SQL on the smallest tables."""
+    import os
+
+    import duckdb
+
+    from weftlink.llm import registry
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("needs the driver's tables")
+    con = duckdb.connect()
+    for f in os.listdir(data):
+        con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{data}/{f}'")
+    ours, theirs = registry.queries()[name](spark, data).toPandas(), con.sql(registry.oracle_sql()[name]).df()
+    cols = sorted(ours.columns)
+    assert cols == sorted(theirs.columns)
+    plain = lambda df: sorted(map(str, df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False, name=None)))
+    assert plain(ours) == plain(theirs)

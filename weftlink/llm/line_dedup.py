@@ -227,10 +227,33 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "d
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, those with words, and the numbers of those that go."""
+    """Per document: its lines, those with words, and how many and which (numbers from 0) of those go."""
     docs = table(spark, sf_dir, "documents")
     stay = staying_lines(docs)
     numbers = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, i: F.when(line.rlike(HAS_WORD), i)), lambda i: i.isNotNull())
     own = docs.select("doc_id", *_key("doc_id", "text"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"), numbers.alias("filled"))
     found = own.join(stay, ["doc", "copy"], "left")
-    return found.select("doc_id", "n_lines", F.size("filled").alias("n_filled"), F.array_except("filled", F.coalesce("lines", F.lit([]).cast("array<int>"))).alias("removed"))
+    gone = F.array_except("filled", F.coalesce("lines", F.lit([]).cast("array<int>")))
+    return found.select("doc_id", "n_lines", F.size("filled").alias("n_filled"), F.size(gone).alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
+
+
+OP2_SQL = r"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as line_no from documents
+), sets as (
+  select row_number() over (order by doc_id, line_no) as id, doc_id, line_no, w, len(w) as n
+  from (select *, list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+')) as w from lines) where len(w) > 0
+), tok as (select id, n, unnest(w) as t from sets), df as (select t, count(*) as f from tok group by t
+), pre as (
+  select id, n, t, pos from (select tok.*, row_number() over (partition by id order by f, t) as pos from tok join df using (t))
+  where pos <= n - ceil(n * 80 / 100) + 1
+), cand as (
+  select distinct y.id as later, x.id as earlier from pre x join pre y on x.t = y.t and x.id < y.id and 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+), gone as (
+  select distinct later from cand join sets a on a.id = earlier join sets b on b.id = later
+  where 100 * len(list_intersect(a.w, b.w)) >= 80 * (a.n + b.n - len(list_intersect(a.w, b.w)))
+)
+select d.doc_id, len(string_split(coalesce(d.text, ''), chr(10)))::int as n_lines, count(s.id)::int as n_filled,
+  count(g.later)::int as n_removed, coalesce(string_agg(case when g.later is not null then s.line_no end, ',' order by s.line_no), '') as removed
+from documents d left join sets s on s.doc_id = d.doc_id left join gone g on g.later = s.id group by d.doc_id, d.text
+"""

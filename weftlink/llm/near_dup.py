@@ -251,3 +251,26 @@ def link_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-equal documents: 3-word shingles, similarity of 0.85 or more."""
     return link_documents(table(spark, sf_dir, "documents"), words=3, num=85, den=100).withColumnRenamed("id", "doc_id")
+
+
+OP3_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, s, len(s) as n from (
+    select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2]))
+                        when len(w) > 0 then [array_to_string(w, chr(31))] else [] end as s from words)
+), tok as (select doc_id, n, unnest(s) as t from sets), df as (select t, count(*) as f from tok group by t
+), pre as (
+  select doc_id, n, t from (select tok.*, row_number() over (partition by doc_id order by f, t) as pos from tok join df using (t)) where pos <= n - ceil(n * 85 / 100) + 1
+), cand as (
+  select distinct x.doc_id as a, y.doc_id as b from pre x join pre y on x.t = y.t and x.doc_id < y.doc_id and 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+), links as (
+  select a, b from cand join sets x on x.doc_id = a join sets y on y.doc_id = b
+  where 100 * len(list_intersect(x.s, y.s)) >= 85 * (x.n + y.n - len(list_intersect(x.s, y.s)))
+), both_ways as (select a, b from links union all select b, a from links
+), reach(a, b) as (
+  select doc_id, doc_id from sets union select r.a, l.b from reach r join both_ways l on l.a = r.b
+)
+select s.doc_id, s.n as n_shingles, min(r.b) as component_id, s.doc_id = min(r.b) as kept from sets s join reach r on r.a = s.doc_id group by s.doc_id, s.n
+"""

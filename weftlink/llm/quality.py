@@ -166,3 +166,38 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     judged = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP9_SQL = r"""
+with w as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines
+  from documents
+), win as (
+  select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as times from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)
+), rep as (
+  select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from win where times > 1) group by doc_id
+), m as (
+  select w.doc_id, lang, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+    coalesce(rep.n, 0)::bigint as n_repeat_words, len(lines) as n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) as n_capitals
+  from w left join rep using (doc_id)
+), b as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    [n_symbols / greatest(n_words, 1)::double, n_dup_lines / greatest(n_lines, 1)::double, n_capitals / greatest(word_chars, 1)::double] as rates from m
+), good as (
+  select lang, rates from b where not base_failed and doc_id in (select doc_id from labels where quality = 1)
+), steps as (
+  select unnest([0.02, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8])::double as c
+), k as (
+  select lang, r, c, count(*) as n, count(*) filter (rates[r] > c) as k from good, range(1, 4) t(r), steps group by all
+), safe as (
+  select lang, r, min(c) as cutoff from (
+    select *, (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98))) from range(0, k.k + 1) q(i)) as tail,
+      0.05 / (33 * (select count(distinct lang) from good)) as level from k
+  ) where tail <= level group by lang, r
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not exists (select 1 from safe where safe.lang = b.lang and b.rates[safe.r] > safe.cutoff) as kept
+from b
+"""

@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_rules": url_rules.OP5_SQL}
+    return {
+        "op2_line_dedup": line_dedup.OP2_SQL,
+        "op3_near_duplicates": near_dup.OP3_SQL,
+        "op5_url_rules": url_rules.OP5_SQL,
+        "op9_quality_rules": quality.OP9_SQL,
+    }
