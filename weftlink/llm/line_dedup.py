@@ -10,7 +10,7 @@ line counts whether or not it goes itself. Lines without words stay.
 2. Equal sets are one line from then on, the first of them; the others go.
 3. Prefix filter: lines of enough overlap share one of their first n - ceil(n num/den) + 1
    words. Groups of lines with one such word are looked at by three filters: length,
-   position of the word, and a 64-bit parity map whose differing bits bound the overlap.
+   position of the word, and a 128-bit parity map whose differing bits bound the overlap.
 4. In each group a line first meets only the group's first line and the one before
    it; its most likely partner is verified on the full sets. In a large group of copies
    that settles nearly all lines at a cost linear in the group. Lines still open, in groups of
@@ -90,13 +90,19 @@ def _sketch(codes: str, k: int) -> F.Column:
     return F.expr(f"aggregate({codes}, 0L, (m, c) -> m ^ shiftleft(1L, int(shiftrightunsigned(c, {6 * k}) & 63)))")
 
 
+def _half_map(codes: str, half: int) -> F.Column:
+    """One half of a parity map of 128 bits: the words whose hash has this bit, by the six bits below it."""
+    return F.expr(f"aggregate({codes}, 0L, (m, c) -> if((shiftrightunsigned(c, 6) & 1) = {half}, m ^ shiftleft(1L, int(c & 63)), m))")
+
+
 def _apart(x: str, y: str):
-    return F.bit_count(F.col(f"{x}.map").bitwiseXOR(F.col(f"{y}.map")))
+    """Bits in which the parity maps of two postings differ."""
+    return sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in ("map", "map2")), F.lit(0))
 
 
 def _may_match(x: str, y: str, num: int, den: int):
     """Length, position and parity filters on two postings (structs)."""
-    nx, ny, px, py = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.pos", f"{y}.pos"))
+    (nx, px), (ny, py) = ((F.shiftright(F.col(f"{s}.place"), 32), F.col(f"{s}.place").bitwiseAND(F.lit(_LOW))) for s in (x, y))
     total = nx + ny
     fits = den * F.least(nx, ny) >= num * F.greatest(nx, ny)
     # The pair's own overlap bound: its first shared word is early enough in both, and enough words can follow it.
@@ -156,7 +162,9 @@ def _part(k: int):
 
 def _groups(postings: DataFrame, num: int, den: int) -> DataFrame:
     """(token, x, near, size): postings of groups of more than three, and what a first look at a group finds."""
-    postings = postings.select("token", F.struct("doc", "at", "n", "map", "pos").alias("x"))
+    # Size and position share one long.
+    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    postings = postings.select("token", F.struct("doc", "at", place.alias("place"), "map", "map2").alias("x"))
     group = Window.partitionBy("token")
     order = group.orderBy("x.doc", "x.at")
     met = postings.select("token", "x", F.first("x").over(order).alias("head"), F.lag("x").over(order).alias("before"), F.count(F.lit(1)).over(group).alias("size"))
@@ -180,11 +188,11 @@ def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     codes = lines.select("doc", "at", _codes(F.col("line"), classes).alias("codes"))
     n = F.size("codes")
     prefix = F.slice("codes", 1, (n - F.ceil(n * num / den) + 1).cast("int"))
-    marked = codes.select(F.xxhash64("codes").alias("d1"), F.xxhash64("codes", F.lit(1)).alias("d2"), F.struct("doc", "at", n.alias("n"), _sketch("codes", 0).alias("map"), prefix.alias("prefix")).alias("line"))
+    marked = codes.select(F.xxhash64("codes").alias("d1"), F.xxhash64("codes", F.lit(1)).alias("d2"), F.struct("doc", "at", n.alias("n"), _half_map("codes", 0).alias("map"), _half_map("codes", 1).alias("map2"), prefix.alias("prefix")).alias("line"))
     # The first line of each set stands for it.
     reps = stored(marked.groupBy("d1", "d2").agg(F.min("line").alias("line")).select("line.*"), "line-sets")
     release(spark)
-    groups = [stored(_groups(reps.select(F.posexplode("prefix").alias("pos", "token"), "doc", "at", "n", "map").where(_part(k)), num, den), "line-groups") for k in _each(spark)]
+    groups = [stored(_groups(reps.select(F.posexplode("prefix").alias("pos", "token"), "doc", "at", "n", "map", "map2").where(_part(k)), num, den), "line-groups") for k in _each(spark)]
     met = reduce(DataFrame.union, groups)
     near = met.select(F.col("x.doc").alias("doc"), F.col("x.at").alias("at"), F.explode("near").alias("near"))
     likely = near.groupBy("doc", "at").agg(F.min("near").alias("best"))
