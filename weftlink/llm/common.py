@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Bytes handled at once by the vectorised text routines.
 BLOCK = 1 << 20
+#: Rows of an Arrow batch, where the session has not chosen less: texts can be long.
+BATCH_ROWS = 2000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -33,6 +35,9 @@ _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -28,14 +28,22 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path, self._whole = path, None
         spec = json.load(open(path, encoding="utf-8"))
         letters = _byte_letters()
         self.added = [t["content"] for t in spec.get("added_tokens", ())]
         ranks = {bytes(letters[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in self.added}
         self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(path)
+
+    @property
+    def whole(self):
+        """The library's encoder; most processes never need it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
