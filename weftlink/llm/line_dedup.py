@@ -25,6 +25,7 @@ comes first; a document whose lines all go keeps its row with an empty text.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -119,8 +120,8 @@ def _asked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(asked) if few else asked, ["doc", "at"], "left_semi").select(F.struct("doc", "at").alias("id"), "line")
 
 
-def _both(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs with what was found for either line, as x_<name> and y_<name>.
+def _judged(pairs: DataFrame, found: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``judge`` of the pairs with what was found for either line, as x_<name> and y_<name>; computed.
 
     What was found is written first: else the join's not-null filters would move below the
     choice of lines and make it for every line of the corpus.
@@ -128,25 +129,29 @@ def _both(pairs: DataFrame, found: DataFrame) -> DataFrame:
     found = stored(found, "line-found")
     for s in "xy":
         pairs = pairs.join(found.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in found.columns if c != "id")), s)
-    return pairs
+    out = cut(judge(pairs))
+    discard(found)
+    return out
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
     """The later lines (doc, at) of those pairs that reach the threshold on the full sets."""
     # Sets are made once for each line, not for each pair.
-    both = _both(pairs, _asked(pairs, lines).select("id", _hashes(F.col("line")).alias("set")))
     common = F.size(F.array_intersect("x_set", "y_set"))
-    return both.where(common * den >= num * (F.size("x_set") + F.size("y_set") - common)).select("x.doc", "x.at").distinct()
+    enough = common * den >= num * (F.size("x_set") + F.size("y_set") - common)
+    sets = _asked(pairs, lines).select("id", _hashes(F.col("line")).alias("set"))
+    return _judged(pairs, sets, lambda both: both.where(enough).select("x.doc", "x.at").distinct())
 
 
 def _close(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
     """(x, y, apart): the pairs that none of the further parity maps rules out, with the bits in which the maps differ."""
     maps = [f"map{k}" for k in range(1, MAPS + 1)]
     sets = _asked(pairs, lines).select("id", _hashes(F.col("line")).alias("set"))
-    both = _both(pairs, sets.select("id", F.size("set").alias("n"), *(_sketch("set", k).alias(m) for k, m in enumerate(maps, 1))))
+    found = sets.select("id", F.size("set").alias("n"), *(_sketch("set", k).alias(m) for k, m in enumerate(maps, 1)))
     bits = [F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}"))) for m in maps]
     total = F.col("x_n") + F.col("y_n")
-    return both.where((total - F.greatest(*bits)) * (num + den) >= 2 * num * total).select("x", "y", sum(bits[1:], bits[0]).alias("apart"))
+    fits = (total - F.greatest(*bits)) * (num + den) >= 2 * num * total
+    return _judged(pairs, found, lambda both: both.where(fits).select("x", "y", sum(bits[1:], bits[0]).alias("apart")))
 
 
 def _each(spark: SparkSession):
@@ -197,7 +202,7 @@ def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     near = met.select(F.col("x.doc").alias("doc"), F.col("x.at").alias("at"), F.explode("near").alias("near"))
     likely = near.groupBy("doc", "at").agg(F.min("near").alias("best"))
     likely = cut(likely.select(F.struct("doc", "at").alias("x"), F.col("best.y").alias("y")))
-    gone = cut(_verified(likely, lines, num, den))
+    gone = _verified(likely, lines, num, den)
     release(spark)
     few = gone.count() <= BROADCAST_LINES
     done = F.broadcast(gone) if few else gone
@@ -207,7 +212,7 @@ def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     pairs = pairs.union(near.join(done, ["doc", "at"], "left_anti").select(F.struct("doc", "at").alias("x"), F.col("near.y").alias("y")))
     pairs = cut(pairs.join(likely, ["x", "y"], "left_anti").distinct())
     discard(*groups)
-    pairs = cut(_close(pairs, lines, num, den))
+    pairs = _close(pairs, lines, num, den)
     release(spark)
     # The closest partner of a line settles it mostly; its other pairs are verified only if it does not.
     closest = cut(pairs.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best")).select("x", "best.y"))
@@ -218,7 +223,9 @@ def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
         release(spark)
     stay = reps.select("doc", "at").join(gone, ["doc", "at"], "left_anti")
     stay = stay.groupBy("doc", F.col("at").bitwiseAND(F.lit(_LOW)).alias("copy")).agg(F.sort_array(F.collect_list(F.shiftright("at", 32).cast("int"))).alias("lines"))
-    return stored(stay, "line-stay")
+    stay = stored(stay, "line-stay")
+    discard(reps)
+    return stay
 
 
 def _with_stay(docs: DataFrame, stay: DataFrame, columns: list, id_col: str, text_col: str) -> DataFrame:
