@@ -35,8 +35,9 @@ def held_out(doc_id):
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
     """(text, label) of the sample; its size is bounded."""
     rows = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    place = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= SAMPLE).select("doc_id", "toxic")
+    # Each task keeps its first rows of either label, so no label's rows meet in one task.
+    first = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
+    picked = first[0].union(first[1])
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
     found = stored(found.withColumn("n", F.size(words_of(F.col("text")))).where(F.col("n").between(1, SAMPLE_WORDS // 20)), "toxic-sample")
     # At most 2 * SAMPLE rows (more only for repeated ids) without their texts.
