@@ -6,8 +6,8 @@ result to the shared folder and reads it again, so a lost executor costs a stage
 
 Documents whose every line with a word repeats an earlier line are dropped by the line stage, as
 nothing of them is left; n_chars follows the text. Mixing writes a document as often as
-its copies say; its targets are multiples of what each domain has: a little over 1 for the
-high-quality domain, which keeps clean documents at a rate of 1 or more, and less for others.
+its copies say; its targets are shares of the tokens after mixing, whatever the input's are.
+Growth times the high-quality share is over 1, so clean documents keep a rate of 1 or more.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from weftlink.llm.quality import kept_documents
 from weftlink.llm.tokens import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-TARGETS = {"high": 1.1, "low": 0.3, "toxic": 0.3}
+TARGETS = {"high": 0.93, "low": 0.02, "toxic": 0.05}
+GROWTH = 1.08
 #: So many ids whose verdict is not the usual one may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -58,7 +59,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix to target weights has it."""
-    copies = mix_documents(docs, table(spark, sf_dir, "labels"), TARGETS, relative=True)
+    copies = mix_documents(docs, table(spark, sf_dir, "labels"), TARGETS, GROWTH)
     found = _matched(docs, copies.select(F.col("doc_id").alias("id"), F.col("copies").cast("int").alias("n")), 1).where("_n > 0")
     return found.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_time")).select(*COLUMNS)
 

@@ -62,6 +62,29 @@ def test_stages(spark, folder):
     assert set(mixed) <= set(now) and len(mixed) > 0.8 * len(now)
 
 
+def test_mixing_shares(spark, tmp_path, monkeypatch):
+    # 60 % of the documents are of low quality; the stage's expected tokens have the target shares all the same.
+    rng = random.Random(22)
+    kind = [("good", 1, 0), ("spam", 0, 0), ("vile", 1, 1)]
+    labels, rows = [], []
+    for i in range(300):
+        name, q, t = kind[0 if i % 10 < 3 else 1 if i % 10 < 9 else 2]
+        text = " ".join(f"{name}{rng.randrange(30)}" if rng.random() < 0.5 else x for x in words(rng, 60).split())
+        rows.append((i, text, "en", "src0", len(text)))
+        labels.append((i, q, t))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    made, mix = [], corpus_pipeline.mix_documents
+    monkeypatch.setattr(corpus_pipeline, "mix_documents", lambda *a, **k: made.append(mix(*a, **k)) or made[-1])
+    mixed = collections.Counter(r.doc_id for r in corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect())
+    got = made[0].collect()
+    total = sum(r.rate * r.n_tokens for r in got)
+    want = {"high": 0.93, "low": 0.02, "toxic": 0.05}
+    for d, share in want.items():
+        assert sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in got) / total == pytest.approx(share, abs=1e-3)
+    assert all(mixed[r.doc_id] == r.copies for r in got) and all(r.rate >= 1 for r in got if r.p_high > 0.95)
+
+
 def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder).collect()
     own = tokens.encoder(tokens.vocabulary("byte_bpe_50k.json"))
