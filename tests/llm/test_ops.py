@@ -152,6 +152,19 @@ def test_near(spark, frame, size, num):
     assert all(r.kept == (r.id == r.component_id) for r in got.values())
 
 
+def test_near_dense_unlinked(spark, frame):
+    # Families on one template, their members unlinked but for two with short texts of their own.
+    rng, docs = random.Random(31), []
+    for f in range(4):
+        template = words(rng, 240)
+        for i in range(150):
+            docs.append((1000 * f + i, template + " " + " ".join(f"own{f}x{i}x{k}" for k in range(15 if i in (40, 110) else 53))))
+    want = slow_components(docs, 3, 85, 100)
+    got = rows_of(near_dup.link_documents(frame(docs), 3, 85, 100), "id")
+    assert {d: (got[d].n_shingles, got[d].component_id) for d, _ in docs} == want
+    assert sum(not r.kept for r in got.values()) == 4
+
+
 def test_near_odd(spark, frame):
     assert near_dup.link_documents(frame([])).count() == 0
     text = words(random.Random(1), 30)

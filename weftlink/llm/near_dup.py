@@ -4,19 +4,25 @@
    digest of the set and a MinHash signature. Equal digests are one class; the rest
    works on one representative per class.
 2. Forest: each tree orders the classes by the signature rotated to another start.
-   Neighbours in an order share the longest prefix that any class shares with them, so
-   the depth compared adapts to each region: short prefixes where classes are sparse,
-   the whole signature inside a dense group. Candidates are the next ``reach`` classes
-   whose sizes and estimated similarity allow a link.
-3. Confirmation on full sets: first each class's most similar candidate, which joins
-   most of a group; then, on what remains, every candidate between different components.
-4. Further rounds look, in the same orders, for the nearest classes of *another*
-   component, so members of a dense group that sit behind many closer neighbours are
-   reached too. Rounds end when one adds no link (or after ``rounds``).
-
-Work and shuffles are linear in documents times trees; a group of any size costs each
-member the same. A pair at the threshold is missed by one tree with probability about
-1 - 0.85**depth, by all of them with its power; no bucket or partner is capped.
+   Neighbours in an order share the longest prefix that any class shares with them. The
+   next ``reach`` classes, where sizes and estimated similarity allow a link, are
+   confirmed on full sets: first each class's most similar one, which joins most of a
+   group; then, on what remains, every pair between different components.
+3. Regions: classes that share a tree's first values, as many as the threshold requires,
+   form a region. Regions whose classes are not all in one component by now are searched
+   in full, so neither a class behind many closer neighbours nor a border of a batch or
+   partition hides a link: regions of few classes by all their pairs, the classes of all
+   others by one exact prefix-filter join. Shingles are ordered by rarity; the smaller
+   set of a linked pair has one of the first 1 - 2t / (1 + t) of its shingles among the
+   first 1 - t of the other's. Shingles that meet only one component are dropped by a
+   count before pairs are made, and members of a shingle's largest component are not
+   paired with one another, so large linked groups cost each member the same.
+4. Pairs found there are confirmed as in 2. No pair between components is left out, so
+   there is nothing for another round to find.
+
+A linked pair shares no region with a probability of (1 - t**depth)**TREES, at most
+``MISS``; the estimate turns one down with about 3e-6. The forest's work is linear in documents times
+trees; that of the join is in the pairs of different components that share a rare shingle.
 
 Defined results: null or empty texts and texts without words have size 0 and link with
 nothing; repeated rows link; rows that share a doc_id are one node; a null doc_id gets a
@@ -34,11 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import BLOCK, cut, is_space, mix, release, run_hashes, runs, slices, stored, table, text_bytes
+from weftlink.llm.common import BLOCK, cut, discard, is_space, mix, release, run_hashes, runs, slices, stored, table, text_bytes
 from weftlink.llm.components import components
 
 _U = np.uint64
 TREES, DEPTH = 10, 6
+#: Bound on the probability that a pair at the threshold shares no region.
+MISS = 5e-5
+#: Classes of shingles whose counts give the order of the exact join.
+RARITY = 1 << 18
 #: So many ids may be broadcast to pick out texts; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Standard deviations by which an estimate may fall short of the threshold.
@@ -118,10 +128,14 @@ def _rotations(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "n", "comp", "sig", tree.alias("tree")).select("tree", turned.alias("label"), "rep", "n", "comp")
 
 
-def _neighbours(classes: DataFrame, partitions: int, reach: int, num: int, den: int, foreign: bool) -> DataFrame:
-    """Candidate pairs (a, b, est) of near classes in each order; foreign: of other components only."""
+def _least_estimate(num: int, den: int) -> float:
     ratio = num / den
-    least = ratio - MARGIN * np.sqrt(ratio * (1 - ratio) / (TREES * DEPTH))
+    return ratio - MARGIN * np.sqrt(ratio * (1 - ratio) / (TREES * DEPTH))
+
+
+def _neighbours(classes: DataFrame, partitions: int, reach: int, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b, est) of near classes in each order."""
+    least = _least_estimate(num, den)
     ordered = _rotations(classes).repartitionByRange(partitions, "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
 
     def pairs(tree, sig, rep, n, i, j):
@@ -136,42 +150,113 @@ def _neighbours(classes: DataFrame, partitions: int, reach: int, num: int, den:
         for batch in batches:
             if not len(batch):
                 continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "rep", "n", "comp")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "rep", "n")]
             sig = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u2").reshape(len(batch), -1)
             held = 0
             if tail is not None:
                 held = len(tail[0])
-                cols = [np.concatenate([a, b]) for a, b in zip(tail[:4], cols, strict=True)]
-                sig = np.concatenate([tail[4], sig])
-            tree, rep, n, comp = cols
+                cols = [np.concatenate([a, b]) for a, b in zip(tail[:3], cols, strict=True)]
+                sig = np.concatenate([tail[3], sig])
+            tree, rep, n = cols
             size, here = len(tree), np.arange(held, len(tree))
-            if foreign:
-                # The end of the run of one component before each place, and the start of that run's next.
-                start = np.maximum.accumulate(np.where(np.concatenate([[True], comp[1:] != comp[:-1]]), np.arange(size), 0))
-                found = []
-                at = start - 1
-                for _ in range(reach):
-                    i = np.flatnonzero((at >= 0) & (np.arange(size) >= 0))
-                    i = i[comp[at[i]] != comp[i]]
-                    found.append(pairs(tree, sig, rep, n, i, at[i]))
-                    at = np.where(at >= 0, at - 1, at)
-                end = size - 1 - np.maximum.accumulate(np.where(np.concatenate([[True], comp[::-1][1:] != comp[::-1][:-1]]), np.arange(size), 0))[::-1]
-                at = end + 1
-                for _ in range(reach):
-                    i = np.flatnonzero(at < size)
-                    i = i[comp[at[i]] != comp[i]]
-                    found.append(pairs(tree, sig, rep, n, i, at[i]))
-                    at = np.where(at < size, at + 1, at)
-            else:
-                found = [pairs(tree, sig, rep, n, here[here >= k], here[here >= k] - k) for k in range(1, reach + 1)]
+            found = [pairs(tree, sig, rep, n, here[here >= k], here[here >= k] - k) for k in range(1, reach + 1)]
             out = pd.DataFrame({c: np.concatenate([f[k] for f in found]) for k, c in enumerate(("a", "b", "est"))}).drop_duplicates(["a", "b"])
             yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64()), pa.array(out["est"], pa.float64())], names=["a", "b", "est"])
-            keep = slice(max(0, size - 4 * reach), size)
-            tail = [*(c[keep] for c in (tree, rep, n, comp)), sig[keep]]
+            keep = slice(max(0, size - reach), size)
+            tail = [*(c[keep] for c in (tree, rep, n)), sig[keep]]
 
     return ordered.mapInArrow(scan, "a bigint, b bigint, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
+def _depth(num: int, den: int) -> int:
+    """The most values of a tree that a linked pair shares in some tree but for a probability of ``MISS``."""
+    fits = [d for d in range(1, DEPTH + 1) if (1 - (num / den) ** d) ** TREES <= MISS]
+    return max(fits, default=1)
+
+
+def _rarity(texts: DataFrame, words: int) -> np.ndarray:
+    """How often each class of shingles occurs in the texts."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                seen += np.bincount((shingle_sets(part.column("text"), words)[0] % _U(RARITY)).astype(np.int64), minlength=RARITY)
+        some = np.flatnonzero(seen)
+        for k in range(0, len(some), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(some[k : k + (1 << 16)]), pa.array(seen[some[k : k + (1 << 16)]])], names=["bucket", "k"])
+
+    out = np.zeros(RARITY, np.int64)
+    found = texts.mapInArrow(tally, "bucket bigint, k bigint").groupBy("bucket").agg(F.sum("k").alias("k")).toPandas()
+    out[found["bucket"].to_numpy(np.int64)] = found["k"].to_numpy(np.int64)
+    return out
+
+
+def _rare_pairs(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of texts (id, comp, text) of different components that share a shingle where a linked pair must."""
+    spark = texts.sparkSession
+    counts = spark.sparkContext.broadcast(_rarity(texts.select("text"), words))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                grams, at = shingle_sets(part.column("text"), words)
+                n = np.diff(at)
+                owner = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((grams, counts.value[(grams % _U(RARITY)).astype(np.int64)], owner))
+                place = np.arange(len(grams)) - at[:-1][owner]
+                most, few = n + (-num * n // den) + 1, n + (-2 * num * n // (num + den)) + 1
+                keep = place < most[owner]
+                owner, short = owner[keep], (place < few[owner])[keep]
+                ids, comps = (part.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("id", "comp"))
+                yield pa.RecordBatch.from_arrays([pa.array(grams[order][keep].view(np.int64)), pa.array(ids), pa.array(comps), pa.array(n[owner]), pa.array(short)], names=["token", "id", "comp", "n", "short"])
+
+    posted = stored(texts.mapInArrow(post, "token bigint, id bigint, comp bigint, n bigint, short boolean").distinct(), "postings")
+    met = posted.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.max("short").alias("short"))
+    met = met.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("most"), F.max("short").alias("some"))
+    met = met.where("comps > 1 and some").select("token", F.col("most.comp").alias("most"))
+    rows = stored(posted.join(met, "token").select("token", "id", "comp", "n", "short", (F.col("comp") == F.col("most")).alias("top")), "met")
+    low = rows.where("short").select("token", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("top").alias("tx"))
+    fits = (F.col("cx") != F.col("comp")) & (F.col("nx") <= F.col("n")) & (den * F.col("nx") >= num * F.col("n"))
+    both = [left.join(right, "token").where(fits).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")) for left, right in ((low.where("not tx"), rows), (low.where("tx"), rows.where("not top")))]
+    out = cut(both[0].union(both[1]).distinct())
+    discard(posted, rows)
+    return out
+
+
+def _region_pairs(classes: DataFrame, texts: DataFrame, words: int, reach: int, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b, est) of different components in regions that hold more than one. classes: with comp."""
+    first = _rotations(classes).select("tree", F.expr(f"substring(label, 1, {2 * _depth(num, den)})").alias("start"), "rep", "n", "comp")
+    mixed = first.groupBy("tree", "start").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    mixed = cut(mixed.where("low < high").select("tree", "start", "k"))
+    few = mixed.count() <= BROADCAST_IDS
+    placed = stored(first.join(F.broadcast(mixed) if few else mixed, ["tree", "start"]), "regions")
+    small = placed.where(F.col("k") <= reach + 1)
+    other = small.select("tree", "start", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    near = (F.col("rep") < F.col("b")) & (F.col("comp") != F.col("cb")) & (den * F.least("n", "nb") >= num * F.greatest("n", "nb"))
+    found = small.join(other, ["tree", "start"]).where(near).select(F.col("rep").alias("a"), "b")
+    dense = cut(placed.where(F.col("k") > reach + 1).select(F.col("rep").alias("id"), "comp").distinct())
+    size = dense.count()
+    if size:
+        asked = stored(texts.join(F.broadcast(dense) if size <= BROADCAST_IDS else dense, "id"), "dense")
+        found = found.union(_rare_pairs(asked, words, num, den))
+        discard(asked)
+    found = cut(found.distinct())
+    discard(placed)
+    least = _least_estimate(num, den)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(len(batch), -1) for c in ("x", "y"))
+            est = (x == y).mean(1) if len(batch) else np.zeros(0)
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est)], names=["a", "b", "est"])
+            yield out.filter(pa.array(est >= least))
+
+    sigs = [classes.select(F.col("rep").alias(c), F.col("sig").alias(s)) for c, s in (("a", "x"), ("b", "y"))]
+    both = found.join(sigs[0], "a").join(sigs[1], "b").select("a", "b", "x", "y")
+    return both.mapInArrow(judge, "a bigint, b bigint, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold. docs: (id, text); pairs are already computed."""
     asked = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
@@ -193,7 +278,35 @@ def _confirm(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
     return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint").distinct()
 
 
-def link_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", reach: int = 3, rounds: int = 3) -> DataFrame:
+def _joined_up(pairs: DataFrame, comp: DataFrame | None, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The components after confirming pairs (a, b, est): each class's best one, then those still between components."""
+    edges = lambda: comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    best = pairs.select(F.col("b").alias("node"), "a", "b", "est").union(pairs.select(F.col("a").alias("node"), "a", "b", "est"))
+    best = cut(best.groupBy("node").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+    more = _confirm(best, texts, words, num, den)
+    # What is joined already counts as one edge for each class.
+    comp = components(cut(more if comp is None else edges().union(more)))
+    release(texts.sparkSession)
+    name = comp.withColumnRenamed("component", "c")
+    open_pairs = cut(
+        pairs.select("a", "b")
+        .join(name.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a", "left")
+        .join(name.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b", "left")
+        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        .select("a", "b")
+        .join(best, ["a", "b"], "left_anti")
+    )
+    if open_pairs.isEmpty():
+        return comp
+    more = cut(_confirm(open_pairs, texts, words, num, den))
+    if more.isEmpty():
+        return comp
+    comp = components(edges().union(more))
+    release(texts.sparkSession)
+    return comp
+
+
+def link_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", reach: int = 3) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; linked when den * intersection >= num * union."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -201,39 +314,13 @@ def link_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     members = stored(signed(docs, id_col, text_col, words), "signatures")
     full = members.where("n > 0 and id is not null")
     classes = stored(full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    comp = None
-    for k in range(rounds):
-        now = classes.withColumn("comp", F.col("rep")) if comp is None else classes.join(comp, classes["rep"] == comp["node"], "left").select("rep", "n", "sig", F.coalesce("component", "rep").alias("comp"))
-        pairs = cut(_neighbours(now, partitions, reach, num, den, k > 0))
-        if k == 0:
-            best = pairs.select(F.col("b").alias("node"), "a", "b", "est").union(pairs.select(F.col("a").alias("node"), "a", "b", "est"))
-            best = best.groupBy("node").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-            best = cut(best)
-            comp = components(cut(_confirm(best, texts, words, num, den)))
-            release(spark)
-        name = comp.withColumnRenamed("component", "c")
-        open_pairs = (
-            pairs.select("a", "b")
-            .join(name.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a", "left")
-            .join(name.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b", "left")
-            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-            .select("a", "b")
-        )
-        if k == 0:
-            open_pairs = open_pairs.join(best, ["a", "b"], "left_anti")
-        open_pairs = cut(open_pairs)
-        if open_pairs.isEmpty():
-            if k:
-                break
-            continue
-        more = cut(_confirm(open_pairs, texts, words, num, den))
-        if more.isEmpty():
-            if k:
-                break
-            continue
-        # What is joined already counts as one edge for each class.
-        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-        release(spark)
+    pairs = cut(_neighbours(classes.withColumn("comp", F.col("rep")), partitions, reach, num, den))
+    comp = _joined_up(pairs, None, texts, words, num, den)
+    named = classes.join(comp, classes["rep"] == comp["node"], "left").select("rep", "n", "sig", F.coalesce("component", "rep").alias("comp"))
+    # Neighbours are confirmed or in one component by now.
+    rest = cut(_region_pairs(named, texts, words, reach, num, den).join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        comp = _joined_up(rest, comp, texts, words, num, den)
     # Rows of one doc_id with different sets are one node: an edge from each set's representative to the id.
     split = full.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")
     shared = full.join(split, "id", "left_semi").join(classes.select("digest", "rep"), "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
