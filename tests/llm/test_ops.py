@@ -165,6 +165,28 @@ def test_near_dense_unlinked(spark, frame):
     assert sum(not r.kept for r in got.values()) == 4
 
 
+def test_near_borders(spark, frame):
+    # Linked pairs, with about one row to a batch and a partition of the orders.
+    docs = corpus(32)[:12]
+    for d, t in list(docs):
+        own = (t + " " + words(random.Random(d), 80)).split()
+        docs[d] = (d, " ".join(own))
+        own[40] = "changed"
+        docs.append((100 + d, " ".join(own)))
+    want = slow_components(docs, 3, 85, 100)
+    df, names = frame(docs), ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(x) for x in names]
+    try:
+        for x, n in zip(names, (1, 240), strict=True):
+            spark.conf.set(x, n)
+        got = rows_of(near_dup.link_documents(df, 3, 85, 100), "id")
+    finally:
+        for x, n in zip(names, before, strict=True):
+            spark.conf.set(x, n)
+    assert {d: (got[d].n_shingles, got[d].component_id) for d, _ in docs} == want
+    assert sum(not r.kept for r in got.values()) == 12
+
+
 def test_near_odd(spark, frame):
     assert near_dup.link_documents(frame([])).count() == 0
     text = words(random.Random(1), 30)
