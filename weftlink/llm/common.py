@@ -12,6 +12,7 @@ Conventions held by every operator of this subpackage:
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,10 +43,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a fresh temporary one only where none is configured."""
+    """The folder all executors see. Where none is configured, a fresh temporary one on a single machine, an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="weftlink-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
@@ -81,6 +84,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: A key of more rows than this, and than all rows over ``HOT_KEYS``, is hot: there are at most ``HOT_KEYS`` such keys.
+HOT, HOT_KEYS = 1000, 1000
+
+
+def join_hot(rows: DataFrame, found: DataFrame, key: str, times: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found``, one row a key; ``times`` are a key's rows, which sum to ``total`` at most.
+
+    What was found for hot keys is broadcast, so that their rows stay where they are; the others meet by a shuffle.
+    """
+    most = max(HOT, total // HOT_KEYS)
+    if total > most:
+        hot = cut(found.where(F.col(times) > most).drop(times))
+        if not hot.isEmpty():
+            rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found.drop(times), key, how)
+            return rows.join(F.broadcast(hot), key).unionByName(rest)
+    return rows.join(found.drop(times), key, how)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64), element by element."""
     with np.errstate(over="ignore"):
