@@ -439,15 +439,66 @@ def test_binomial_bounds():
 
 def test_cutoffs_reject_junk_and_keep_good(spark):
     rng = random.Random(4)
-    rows = [(i, words(rng, 60), "en") for i in range(700)] + [(i, " ".join(x + "###" for x in words(rng, 60).split()), "en") for i in range(700, 760)] + [(800, words(rng, 60) + " " + " ".join(f"#{i}#" for i in range(90)), "rare")]
+    rows = [(i, words(rng, 60), "en") for i in range(900)] + [(i, " ".join(x + "###" for x in words(rng, 60).split()), "en") for i in range(900, 960)] + [(1000, words(rng, 60) + " " + " ".join(f"#{i}#" for i in range(90)), "rare")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    labels = df.select("doc_id", F.when(F.col("doc_id") < 700, 1).otherwise(0).alias("quality"))
+    labels = df.select("doc_id", F.when(F.col("doc_id") < 900, 1).otherwise(0).alias("quality"))
     kept = {r.doc_id for r in quality.kept_documents(df, labels).collect()}
-    assert kept == {r[0] for r in rows if r[0] < 700 or r[0] == 800}
+    assert kept == {r[0] for r in rows if r[0] < 900 or r[0] == 1000}
     judged = rows_of(quality.judge_quality(df, labels))
     assert {d for d, r in judged.items() if r.kept} == kept
 
 
+def test_cutoffs_of_several_strata_against_brute_force_and_sql(spark, tmp_path):
+    """A null, an empty and two named strata, one of them too small; the union of the measures keeps the loss."""
+    import duckdb
+
+    rng = random.Random(14)
+    rows, langs = [], [None, "", "en", "de"]
+    for i in range(3700):
+        lang = langs[i % 3] if i < 3600 else "de"
+        share = {None: 0.002, "": 0.02, "en": 0.0, "de": 0.0}[lang]
+        text = words(rng, 50 + i % 7)
+        if i % 10 == 9:
+            text = "\n".join(x + "#" * (i % 4) for x in text.split()) + "\nSAME LINE" * (i % 30 // 3)
+        elif rng.random() < share:
+            text += " #" * 9
+        rows.append((i, text, lang, i % 10 < 9))
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(r[0], int(r[3]), 0) for r in rows], "doc_id bigint, quality int, toxic int")
+    for name, t in (("documents", df), ("labels", labels)):
+        t.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    judged = rows_of(quality.op9_quality_rules(spark, str(tmp_path)))
+    # Brute force: binomial tails by fractions of whole numbers, the grid from its laxest end.
+    def rate(t):
+        n_words, chars, symbols, dup, _ = slow_measures(t)
+        lines = [x for x in t.split("\n") if SPLIT.search(x)]
+        return symbols / max(n_words, 1), dup / max(len(lines), 1), len(re.findall("[A-Z]", t)) / max(chars, 1)
+
+    made = {r[0]: (rate(r[1]), *(lambda m: (m[0] < 50 or 100 * m[4] > 50 * m[0],))(slow_measures(r[1]))) for r in rows}
+    want = {}
+    for lang in langs:
+        good = [made[r[0]][0] for r in rows if r[2] == lang and r[3] and not made[r[0]][1]]
+        cutoffs = [math.inf] * 3
+        for m in range(3):
+            for c in sorted(quality.STEPS, reverse=True):
+                k, n, p = sum(g[m] > c for g in good), len(good), 0.02 / 3
+                if sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > 0.05 / 12:
+                    break
+                cutoffs[m] = c
+        want |= {r[0]: not made[r[0]][1] and all(x <= c for x, c in zip(made[r[0]][0], cutoffs, strict=True)) for r in rows if r[2] == lang}
+        lost = sum(any(x > c for x, c in zip(g, cutoffs, strict=True)) for g in good)
+        assert lost <= 0.02 * len(good)
+    assert {d: r.kept for d, r in judged.items()} == want
+    rejected = {lang: sum(not want[r[0]] and not made[r[0]][1] for r in rows if r[2] == lang) for lang in langs}
+    assert rejected["de"] == 0 and rejected["en"] > 50 and rejected[None] > 50
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert dict(con.sql(f"select doc_id, kept from ({quality.OP9_SQL})").fetchall()) == want
+    kept = {r.doc_id for r in quality.kept_documents(df, labels).collect()}
+    assert kept == {d for d, k in want.items() if k}
+
+
 # 10
 
 
@@ -464,7 +515,7 @@ def test_rollups(spark, frame, tmp_path):
             want[(*own, "t")] += len(tokens.encoder(path).ids(t))
     got = log.totals().collect()
     assert {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in got} == {k[:3]: (want[(*k[:3], "d")], want[(*k[:3], "t")]) for k in want}
-    assert set(log.committed()) == {"load", "recount", "copies"}
+    assert all(log.committed(b) for b in ("load", "recount", "copies")) and log.committed("other") is None
     with pytest.raises(ValueError):
         log.commit("load", changes(spark, [("insert", "s", "en", "v1", 5, 0)]))
 
@@ -483,6 +534,52 @@ def test_commits_are_idempotent(spark, tmp_path):
     assert not again.commit("a", batch) and again.totals().count() == 2
 
 
+def test_long_ids_wrong_ops_and_lost_races(spark, tmp_path, monkeypatch):
+    log = rollups.Rollup(spark, str(tmp_path / "r"))
+    batch, other = (changes(spark, [("insert", "s", "en", "v", n, 0)]) for n in (10, 11))
+    assert log.commit("x" * 5000, batch) and not log.commit("x" * 5000, batch) and log.totals().first().n_tokens == 10
+    for op in ("upsert", None):
+        with pytest.raises(Exception, match="unknown op"):
+            log.commit("bad", changes(spark, [(op, "s", "en", "v", 1, 0)]))
+    assert log.committed("bad") is None and log.totals().first().n_tokens == 10
+    # Two writers that both found the id free: one lands, the other sees it.
+    monkeypatch.setattr(log, "committed", lambda batch_id: None)
+    assert log.commit("raced", batch) and not log.commit("raced", batch)
+    with pytest.raises(ValueError):
+        log.commit("raced", other)
+    assert log.totals().first().n_tokens == 20
+    monkeypatch.setattr(log, "_publish", lambda name, record: (_ for _ in ()).throw(OSError(name)))
+    with pytest.raises(OSError):
+        log.commit("lost", batch)
+    assert rollups.Rollup(spark, str(tmp_path / "r")).totals().first().n_tokens == 20
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    batch = changes(spark, [("insert", "s", "en", "v", 10, 0)])
+    logs = [rollups.Rollup(spark, str(tmp_path / "r")) for _ in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        won = list(pool.map(lambda pair: pair[1].commit(f"b{pair[0] % 2}", batch), enumerate(logs)))
+    assert sum(won) >= 2 and logs[0].totals().first().n_tokens == 20
+
+
+def test_compaction(spark, tmp_path, monkeypatch):
+    log = rollups.Rollup(spark, str(tmp_path / "r"))
+    assert not log.compact()
+    batches = {f"b{i}": changes(spark, [("insert", "s", "en", "v", i, 0)]) for i in range(5)}
+    monkeypatch.setattr(rollups, "COMPACT_AFTER", 2)
+    for name, batch in batches.items():
+        assert log.commit(name, batch)
+    assert log.compact() and log._names("batches") == [] and log.totals().first().n_tokens == 10
+    assert not any(log.commit(name, batch) for name, batch in batches.items()) and log.totals().first().n_docs == 5
+    with pytest.raises(ValueError):
+        log.commit("b1", batches["b2"])
+    # A record that came back after its batch was folded, as by a slow writer, counts once.
+    log._publish("batches/" + log.key("b4"), {"id": "b4", "digest": "?", "data": "?"})
+    assert log.totals().first().n_tokens == 10 and len(log._names("bases")) <= 2
+
+
 @pytest.mark.parametrize("name", ["op2_line_dedup", "op3_near_duplicates", "op5_url_rules", "op9_quality_rules"])
 def test_sql(spark, name):
     """The registered queries against their SQL on the smallest tables."""

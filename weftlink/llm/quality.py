@@ -1,15 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
 Base measures come from whole texts. On top of the fixed base rule, one cutoff per
-stratum and measure is chosen from labelled rows: the strictest cutoff of a fixed grid
-whose exact binomial (Clopper-Pearson) upper bound on the rate of good documents it
-rejects is at most ``max_loss``, at a confidence shared among all strata, measures and
-grid points (Bonferroni). The grid is fixed beforehand and nothing else is fitted, so all
-labelled good rows are hold-out rows. A stratum without enough of them gets no cutoff: it
-rejects nothing.
+stratum and measure is chosen from labelled rows. The rate of good documents that the
+cutoffs of a stratum reject is at most ``max_loss``, for all strata together at a
+confidence of 1 - ``error``: each measure may lose its equal part of ``max_loss``, so that the
+union of their rejections keeps the whole, and has its part of the error (Bonferroni over
+strata and measures). Within a measure a fixed grid is tested from its laxest cutoff down to
+the first whose exact binomial (Clopper-Pearson) upper bound is too high; in such a fixed
+sequence every test has the measure's full level. The grid is fixed beforehand and nothing
+else is fitted, so all labelled good rows are hold-out rows. The rate is that among
+good documents which pass the base rule; the base rule is no part of the guarantee. A
+stratum without enough good rows gets no cutoff: it rejects nothing.
 
 Defined results: a null or empty text has no words, so the base rule rejects it; a null
-stratum is a stratum of its own; repeated rows are judged alike; ties at a cutoff are kept.
+stratum is a stratum of its own, apart from the empty one; repeated rows are judged alike;
+ties at a cutoff are kept; labels that repeat or have no document do not count more.
 """
 
 from __future__ import annotations
@@ -22,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import code_points, is_space, mix, run_hashes, runs, slices, stored, table, text_bytes
+from weftlink.llm.common import code_points, cut, discard, is_space, mix, run_hashes, runs, slices, stored, table, text_bytes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bars", "n_capitals")
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
+#: So many good labelled ids may be broadcast, so that only their texts are measured to fit; beyond it all are.
+BROADCAST_IDS = 200_000
 #: Cutoff grids: a document is rejected when its measure exceeds the cutoff.
 STEPS = (0.02, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8)
 GRID = {"symbol_rate": STEPS, "dup_line_rate": STEPS, "capital_rate": STEPS}
@@ -113,34 +120,40 @@ def safe(rejected: int, good: int, max_loss: float, level: float) -> bool:
     return good > 0 and log_binomial_cdf(rejected, good, max_loss) <= math.log(level)
 
 
+def least_good(max_loss: float, level: float) -> int:
+    """Good rows below which no cutoff is safe, even one that rejects none of them."""
+    return math.ceil(math.log(level) / math.log1p(-max_loss))
+
+
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, max_loss: float = 0.02, error: float = 0.05) -> dict:
-    """{stratum: {measure: cutoff}} from the good labelled rows.
+    """{stratum or None: {measure: cutoff}} from the good labelled rows.
 
     ``measured`` has doc_id, the stratum and the measures; ``labels`` doc_id and quality
-    (1 good). Only counts per stratum and grid point reach the driver, a fixed number for each stratum.
+    (1 good). Counts per grid point reach the driver only for strata with enough good rows,
+    ``least_good`` at least, so there are at most (good rows / ``least_good``) of them.
     """
     good = measured.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").where(~base_failed())
-    strata = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
     aggs = [F.count(F.lit(1)).alias("good")]
     for name, rate in rates().items():
         aggs += [F.count_if(rate > c).alias(f"{name}_{i}") for i, c in enumerate(GRID[name])]
-    rows = good.groupBy(strata.alias("stratum")).agg(*aggs).collect()
-    tests = max(1, len(rows)) * sum(map(len, GRID.values()))
+    counted = cut(good.groupBy(F.col(stratum).cast("string").alias("stratum")).agg(*aggs))
+    loss, level = max_loss / len(GRID), error / (max(1, counted.count()) * len(GRID))
     out: dict = {}
-    for row in rows:
+    for row in counted.where(F.col("good") >= least_good(loss, level)).collect():
         for name, grid in GRID.items():
-            ok = [c for i, c in enumerate(grid) if safe(row[f"{name}_{i}"], row["good"], max_loss, error / tests)]
-            if ok:
-                out.setdefault(row["stratum"], {})[name] = min(ok)
+            for i in reversed(range(len(grid))):
+                if not safe(row[f"{name}_{i}"], row["good"], loss, level):
+                    break
+                out.setdefault(row["stratum"], {})[name] = grid[i]
     return out
 
 
 def method_rejects(cutoffs: dict, stratum: str):
     """The fitted rule as one column; a stratum without cutoffs rejects nothing."""
-    key, out = F.coalesce(F.col(stratum).cast("string"), F.lit("")), F.lit(False)
+    key, out = F.col(stratum).cast("string"), F.lit(False)
     for value, own in cutoffs.items():
         for name, c in own.items():
-            out = out | ((key == value) & (rates()[name] > c))
+            out = out | (key.eqNullSafe(F.lit(value).cast("string")) & (rates()[name] > c))
     return out
 
 
@@ -156,8 +169,12 @@ def judge_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", tex
 
 def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: str = "text", max_loss: float = 0.02, error: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that stay, without a shuffle of texts: those with good labels fit the cutoffs, then each row is measured in passing."""
-    measured = stored(text_measures(docs, ["doc_id", stratum], text_col), "measures")
-    cutoffs = fit_cutoffs(measured, labels, stratum, max_loss, error)
+    good = cut(labels.where("quality = 1").select("doc_id", "quality").distinct())
+    few = good.count() <= BROADCAST_IDS
+    asked = docs.join(F.broadcast(good.select("doc_id")), "doc_id", "left_semi") if few else docs
+    measured = stored(text_measures(asked, ["doc_id", stratum], text_col), "measures")
+    cutoffs = fit_cutoffs(measured, good, stratum, max_loss, error)
+    discard(measured)
     whole = text_measures(docs, docs.columns, text_col)
     return whole.where(~base_failed() & ~method_rejects(cutoffs, stratum)).select(*docs.columns)
 
@@ -170,7 +187,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 with w as (
-  select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+  select doc_id, lang, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines
   from documents
 ), win as (
@@ -191,13 +208,14 @@ with w as (
   select unnest([0.02, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8])::double as c
 ), k as (
   select lang, r, c, count(*) as n, count(*) filter (rates[r] > c) as k from good, range(1, 4) t(r), steps group by all
+), tested as (
+  select *, (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02 / 3) + (n - i) * ln(1 - 0.02 / 3))) from range(0, k.k + 1) q(i))
+      <= 0.05 / (3 * (select count(*) from (select distinct lang from good))) as ok from k
 ), safe as (
-  select lang, r, min(c) as cutoff from (
-    select *, (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98))) from range(0, k.k + 1) q(i)) as tail,
-      0.05 / (33 * (select count(distinct lang) from good)) as level from k
-  ) where tail <= level group by lang, r
+  select lang, r, min(c) as cutoff from tested x
+  where ok and not exists (select 1 from tested y where y.lang is not distinct from x.lang and y.r = x.r and y.c > x.c and not y.ok) group by lang, r
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not exists (select 1 from safe where safe.lang = b.lang and b.rates[safe.r] > safe.cutoff) as kept
+  not base_failed and not exists (select 1 from safe where safe.lang is not distinct from b.lang and b.rates[safe.r] > safe.cutoff) as kept
 from b
 """
