@@ -187,6 +187,35 @@ def test_near_borders(spark, frame):
     assert sum(not r.kept for r in got.values()) == 12
 
 
+@pytest.mark.parametrize("parts", [4, 32])
+def test_near_hub(spark, frame, parts):
+    """A text and 400 others that each change three words of it: all are linked to it, few to one another."""
+    rng = random.Random(41)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 401):
+        own = list(base)
+        at = rng.randrange(116)
+        own[at : at + 3] = [f"o{i}x{k}" for k in range(3)]
+        docs.append((i, " ".join(own)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = near_dup.link_documents(frame(docs), 3, 85, 100).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+def test_hot_keys_meet_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 3)
+    rows = spark.createDataFrame([(i % 5 if i < 20 else 9, i) for i in range(60)] + [(None, 99)], "k bigint, i bigint")
+    found = rows.where("k <> 3").groupBy("k").agg(F.count(F.lit(1)).alias("times"), F.min("i").alias("low"))
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(found.drop("times"), "k", how).collect()))
+        assert sorted(map(str, common.join_hot(rows, found, "k", "times", 60, how).collect())) == want
+
+
 def test_near_odd(spark, frame):
     assert near_dup.link_documents(frame([])).count() == 0
     text = words(random.Random(1), 30)
@@ -195,6 +224,12 @@ def test_near_odd(spark, frame):
     assert all(r.kept for r in got if r.id != 9)
 
 
+def test_components_raise_when_rounds_run_out(spark):
+    edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    with pytest.raises(RuntimeError):
+        components.components(edges, 2)
+
+
 def test_components_of_long_chains(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(500, 501), (501, 500), (7, 7)], "a bigint, b bigint"))
     got = {r.node: r.component for r in components.components(edges).collect()}

@@ -4,25 +4,28 @@
    digest of the set and a MinHash signature. Equal digests are one class; the rest
    works on one representative per class.
 2. Forest: each tree orders the classes by the signature rotated to another start.
-   Neighbours in an order share the longest prefix that any class shares with them. The
-   next ``reach`` classes, where sizes and estimated similarity allow a link, are
-   confirmed on full sets: first each class's most similar one, which joins most of a
-   group; then, on what remains, every pair between different components.
-3. Regions: classes that share a tree's first values, as many as the threshold requires,
-   form a region. Regions whose classes are not all in one component by now are searched
-   in full, so neither a class behind many closer neighbours nor a border of a batch or
-   partition hides a link: regions of few classes by all their pairs, the classes of all
-   others by one exact prefix-filter join. Shingles are ordered by rarity; the smaller
-   set of a linked pair has one of the first 1 - 2t / (1 + t) of its shingles among the
-   first 1 - t of the other's. Shingles that meet only one component are dropped by a
-   count before pairs are made, and members of a shingle's largest component are not
-   paired with one another, so large linked groups cost each member the same.
+   Neighbours in an order share the longest prefix that any class shares with them. Of each
+   class, the next ``reach`` ones are candidates whose common prefix with it is at least
+   as long as the threshold requires, and whose sizes and estimated similarity allow a link.
+   They are confirmed on full sets: first each class's most similar one, which joins most of
+   a group; then, on what remains, every pair between different components.
+3. Adaptive depth: so far a class was compared at the depth of its longest prefixes. Where
+   that leaves classes of more than one component in a region, which is a run of classes that
+   share the least prefix, the region is searched at this least depth and in full, so neither a
+   class behind many closer neighbours nor a border of a batch or partition hides a link:
+   regions of few classes by all their pairs, the classes of all others by one exact
+   prefix-filter join. Shingles are ordered by rarity; the smaller set of a linked pair has one
+   of the first 1 - 2t / (1 + t) of its shingles among the first 1 - t of the other's. Shingles
+   that meet only one component are dropped by a count before pairs are made, and members of
+   a shingle's largest component are not paired with one another, so large linked groups cost
+   each member the same.
 4. Pairs found there are confirmed as in 2. No pair between components is left out, so
    there is nothing for another round to find.
 
 A linked pair shares no region with a probability of (1 - t**depth)**TREES, at most
 ``MISS``; the estimate turns one down with about 3e-6. The forest's work is linear in documents times
 trees; that of the join is in the pairs of different components that share a rare shingle.
+Classes of very many copies, and nodes of very many links, are met by a broadcast (``join_hot``).
 
 Defined results: null or empty texts and texts without words have size 0 and link with
 nothing; repeated rows link; rows that share a doc_id are one node; a null doc_id gets a
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import BLOCK, cut, discard, is_space, mix, release, run_hashes, runs, slices, stored, table, text_bytes
+from weftlink.llm.common import BLOCK, cut, discard, is_space, join_hot, mix, release, run_hashes, runs, slices, stored, table, text_bytes
 from weftlink.llm.components import components
 
 _U = np.uint64
@@ -128,18 +131,32 @@ def _rotations(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "n", "comp", "sig", tree.alias("tree")).select("tree", turned.alias("label"), "rep", "n", "comp")
 
 
+def _common_prefixes(tree: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Leading values that each class shares with the one before it in its tree's order."""
+    out = np.zeros(len(tree), np.int64)
+    differ = sig[1:] != sig[:-1]
+    out[1:] = np.where(differ.any(1), differ.argmax(1), sig.shape[1]) * (tree[1:] == tree[:-1])
+    return out
+
+
 def _least_estimate(num: int, den: int) -> float:
     ratio = num / den
     return ratio - MARGIN * np.sqrt(ratio * (1 - ratio) / (TREES * DEPTH))
 
 
+def _depth(num: int, den: int) -> int:
+    """The most values of a tree that a linked pair shares in some tree but for a probability of ``MISS``."""
+    fits = [d for d in range(1, DEPTH + 1) if (1 - (num / den) ** d) ** TREES <= MISS]
+    return max(fits, default=1)
+
+
 def _neighbours(classes: DataFrame, partitions: int, reach: int, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b, est) of near classes in each order."""
-    least = _least_estimate(num, den)
+    """Candidate pairs (a, b, est): each class with those of its longest common prefixes in each order."""
+    least, shallow = _least_estimate(num, den), _depth(num, den)
     ordered = _rotations(classes).repartitionByRange(partitions, "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
 
     def pairs(tree, sig, rep, n, i, j):
-        ok = (tree[i] == tree[j]) & (rep[i] != rep[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+        ok = (rep[i] != rep[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
         i, j = i[ok], j[ok]
         est = np.concatenate([np.zeros(0), *((sig[i[k : k + 4096]] == sig[j[k : k + 4096]]).mean(1) for k in range(0, len(i), 4096))])
         ok = est >= least
@@ -158,8 +175,15 @@ def _neighbours(classes: DataFrame, partitions: int, reach: int, num: int, den:
                 cols = [np.concatenate([a, b]) for a, b in zip(tail[:3], cols, strict=True)]
                 sig = np.concatenate([tail[3], sig])
             tree, rep, n = cols
-            size, here = len(tree), np.arange(held, len(tree))
-            found = [pairs(tree, sig, rep, n, here[here >= k], here[here >= k] - k) for k in range(1, reach + 1)]
+            size = len(tree)
+            shared = _common_prefixes(tree, sig)
+            # A step further is the least of the prefixes passed: the classes nearest in the order share the longest ones.
+            found, prefix, own = [], np.full(size, sig.shape[1]), np.arange(size)
+            for k in range(1, reach + 1):
+                prefix[k:] = np.minimum(prefix[k:], shared[1 : size - k + 1])
+                here = own[max(held, k) :]
+                here = here[prefix[here] >= shallow]
+                found.append(pairs(tree, sig, rep, n, here, here - k))
             out = pd.DataFrame({c: np.concatenate([f[k] for f in found]) for k, c in enumerate(("a", "b", "est"))}).drop_duplicates(["a", "b"])
             yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64()), pa.array(out["est"], pa.float64())], names=["a", "b", "est"])
             keep = slice(max(0, size - reach), size)
@@ -168,12 +192,6 @@ def _neighbours(classes: DataFrame, partitions: int, reach: int, num: int, den:
     return ordered.mapInArrow(scan, "a bigint, b bigint, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
-def _depth(num: int, den: int) -> int:
-    """The most values of a tree that a linked pair shares in some tree but for a probability of ``MISS``."""
-    fits = [d for d in range(1, DEPTH + 1) if (1 - (num / den) ** d) ** TREES <= MISS]
-    return max(fits, default=1)
-
-
 def _rarity(texts: DataFrame, words: int) -> np.ndarray:
     """How often each class of shingles occurs in the texts."""
 
@@ -313,7 +331,8 @@ def link_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     members = stored(signed(docs, id_col, text_col, words), "signatures")
     full = members.where("n > 0 and id is not null")
-    classes = stored(full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = stored(full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "classes")
+    rows = members.count()
     pairs = cut(_neighbours(classes.withColumn("comp", F.col("rep")), partitions, reach, num, den))
     comp = _joined_up(pairs, None, texts, words, num, den)
     named = classes.join(comp, classes["rep"] == comp["node"], "left").select("rep", "n", "sig", F.coalesce("component", "rep").alias("comp"))
@@ -323,15 +342,16 @@ def link_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
         comp = _joined_up(rest, comp, texts, words, num, den)
     # Rows of one doc_id with different sets are one node: an edge from each set's representative to the id.
     split = full.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")
-    shared = full.join(split, "id", "left_semi").join(classes.select("digest", "rep"), "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    shared = join_hot(full.select("id", "digest").join(split, "id", "left_semi"), classes.select("digest", "rep", "copies"), "digest", "copies", rows).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     if not shared.isEmpty():
         comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(shared))
-    placed = members.select("id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
-    placed = placed.join(comp, placed["rep"] == comp["node"], "left")
+    named = classes.join(comp, classes["rep"] == comp["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"), "copies")
+    empty = members.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("component"))
+    placed = join_hot(members.where("n > 0").select("id", "n", "digest"), named, "digest", "copies", rows, "left").select("id", "n", "component").union(empty)
     return placed.select(
         F.col("id"),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")), F.col("id"))).alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
