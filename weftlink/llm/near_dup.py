@@ -15,8 +15,9 @@
    class behind many closer neighbours nor a border of a batch or partition hides a link:
    regions of few classes by all their pairs, the classes of all others by one exact
    prefix-filter join. Shingles are ordered by rarity; the smaller set of a linked pair has one
-   of the first 1 - 2t / (1 + t) of its shingles among the first 1 - t of the other's. Shingles
-   that meet only one component are dropped by a count before pairs are made, and members of
+   of the first 1 - 2t / (1 + t) of its shingles among the first 1 - t of the other's. A pair has
+   to fit by sizes, by the places of the shingle in both, and by parity maps of 512 bits,
+   which differ in at most as many bits as the sets do in shingles. Shingles that meet only one component are dropped by a count before pairs are made, and members of
    a shingle's largest component are not paired with one another, so large linked groups cost
    each member the same.
 4. Pairs found there are confirmed as in 2. No pair between components is left out, so
@@ -52,6 +53,8 @@ TREES, DEPTH = 10, 6
 MISS = 5e-5
 #: Classes of shingles whose counts give the order of the exact join.
 RARITY = 1 << 18
+#: Longs of a document's parity map in the exact join.
+MAPS = 8
 #: So many ids may be broadcast to pick out texts; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Standard deviations by which an estimate may fall short of the threshold.
@@ -210,10 +213,21 @@ def _rarity(texts: DataFrame, words: int) -> np.ndarray:
     return out
 
 
+def _parity_maps(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """``MAPS`` longs for each of n sets: the parity of how many shingles fall to each of their bits."""
+    bits = 64 * MAPS
+    place, times = np.unique(owner * bits + (mix(grams) & _U(bits - 1)).astype(np.int64), return_counts=True)
+    place = place[times % 2 == 1]
+    out = np.zeros(n * MAPS, _U)
+    np.bitwise_or.at(out, place >> 6, _U(1) << (place & 63).astype(_U))
+    return out.reshape(n, MAPS).view(np.int64)
+
+
 def _rare_pairs(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of texts (id, comp, text) of different components that share a shingle where a linked pair must."""
     spark = texts.sparkSession
     counts = spark.sparkContext.broadcast(_rarity(texts.select("text"), words))
+    maps = [f"m{k}" for k in range(MAPS)]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,20 +237,29 @@ def _rare_pairs(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((grams, counts.value[(grams % _U(RARITY)).astype(np.int64)], owner))
                 place = np.arange(len(grams)) - at[:-1][owner]
+                parity = _parity_maps(grams, owner, len(n))
                 most, few = n + (-num * n // den) + 1, n + (-2 * num * n // (num + den)) + 1
                 keep = place < most[owner]
-                owner, short = owner[keep], (place < few[owner])[keep]
+                owner, place, short = owner[keep], place[keep], (place < few[owner])[keep]
                 ids, comps = (part.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("id", "comp"))
-                yield pa.RecordBatch.from_arrays([pa.array(grams[order][keep].view(np.int64)), pa.array(ids), pa.array(comps), pa.array(n[owner]), pa.array(short)], names=["token", "id", "comp", "n", "short"])
+                columns = [grams[order][keep].view(np.int64), ids, comps, n[owner], place, short, *parity[owner].T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["token", "id", "comp", "n", "place", "short", *maps])
 
-    posted = stored(texts.mapInArrow(post, "token bigint, id bigint, comp bigint, n bigint, short boolean").distinct(), "postings")
+    schema = "token bigint, id bigint, comp bigint, n bigint, place bigint, short boolean, " + ", ".join(f"{m} bigint" for m in maps)
+    posted = stored(texts.mapInArrow(post, schema), "postings")
     met = posted.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.max("short").alias("short"))
     met = met.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("most"), F.max("short").alias("some"))
     met = met.where("comps > 1 and some").select("token", F.col("most.comp").alias("most"))
-    rows = stored(posted.join(met, "token").select("token", "id", "comp", "n", "short", (F.col("comp") == F.col("most")).alias("top")), "met")
-    low = rows.where("short").select("token", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("top").alias("tx"))
-    fits = (F.col("cx") != F.col("comp")) & (F.col("nx") <= F.col("n")) & (den * F.col("nx") >= num * F.col("n"))
-    both = [left.join(right, "token").where(fits).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")) for left, right in ((low.where("not tx"), rows), (low.where("tx"), rows.where("not top")))]
+    rows = stored(posted.join(met, "token").select("token", "id", "comp", "n", "place", "short", *maps, (F.col("comp") == F.col("most")).alias("top")), "met")
+    low = rows.where("short").select("token", "top", *(F.col(c).alias(f"x_{c}") for c in ("id", "comp", "n", "place", *maps)))
+    total = F.col("x_n") + F.col("n")
+    # The pair's own bounds: its first shared shingle comes early enough in both, and its sets differ in few enough.
+    least = F.ceil(total * num / (num + den))
+    apart = sum((F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(m))) for m in maps), F.lit(0))
+    fits = (F.col("x_comp") != F.col("comp")) & (F.col("x_n") <= F.col("n")) & (den * F.col("x_n") >= num * F.col("n"))
+    fits = fits & (F.col("x_place") <= F.col("x_n") - least) & (F.col("place") <= F.col("n") - least) & (apart <= total - 2 * least)
+    sides = ((low.where("not top"), rows), (low.where("top"), rows.where("not top")))
+    both = [x.drop("top").join(y.drop("short", "top"), "token").where(fits).select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")) for x, y in sides]
     out = cut(both[0].union(both[1]).distinct())
     discard(posted, rows)
     return out
