@@ -50,22 +50,45 @@ def slow_common(a, b):
     return row[-1]
 
 
+def slow_ratio(a, b):
+    return 200 * slow_common(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def slow_token_set(a, b):
+    """All strings of shared and other words, spelled out."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    if x & y and (x <= y or y <= x):
+        return 100.0
+    shared = " ".join(sorted(x & y))
+    own, other = " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    with_own, with_other = f"{shared} {own}".strip(), f"{shared} {other}".strip()
+    tries = [(with_own, with_other)] + ([(shared, with_own), (shared, with_other)] if shared else [])
+    # The shared words stand first, so at least they and what the rests have in common are common.
+    common = [(len(shared) + bool(shared) if shared else 0) + slow_common(own, other)] + [len(shared)] * 2
+    return max(200 * c / (len(p) + len(q)) for (p, q), c in zip(tries, common, strict=False))
+
+
 def test_similarities_match_brute_force():
     rng = random.Random(1)
-    for _ in range(400):
-        a, b = ("".join(rng.choice("abc d") for _ in range(rng.randrange(0, 14))) for _ in range(2))
-        assert sim.common_length(a, b) == slow_common(a, b)
-        assert sim.ratio(a, b) == pytest.approx(sim.ratio(b, a))
-        short, long = sorted((a, b), key=len)
-        if short:
-            windows = [long[max(0, e - len(short)) : e] for e in range(1, len(long) + len(short))]
-            best = max(200 * slow_common(short, w) / (len(short) + len(w)) for w in windows)
-            got = sim.partial_ratio(a, b)
-            assert got == pytest.approx(best) or (len(a) == len(b) and got >= best)
+    text = lambda most, letters="abc d": "".join(rng.choice(letters) for _ in range(rng.randrange(0, most)))
+    pairs = [(text(14), text(14)) for _ in range(400)] + [(text(n, "abcdé \U0001f600"), text(n, "abcdé \U0001f600")) for n in (70, 130, 200) for _ in range(8)]
+    a, b = [p[0] for p in pairs], [p[1] for p in pairs]
+    assert list(sim.common_lengths(a, b)) == [slow_common(x, y) for x, y in pairs]
+    assert list(sim.ratios(a, b)) == pytest.approx([slow_ratio(x, y) for x, y in pairs])
+    assert list(sim.token_sort_ratios(a, b)) == pytest.approx([slow_ratio(" ".join(sorted(x.split())), " ".join(sorted(y.split()))) for x, y in pairs])
+    assert list(sim.token_set_ratios(a, b)) == pytest.approx([slow_token_set(x, y) for x, y in pairs])
+    got = sim.partial_ratios(a, b)
+    for (x, y), best in zip(pairs[:400], got, strict=False):
+        windows = lambda s, t: max((slow_ratio(s, t[max(0, e - len(s)) : e]) for e in range(1, len(t) + len(s))), default=0.0)
+        short, long = sorted((x, y), key=len)
+        want = 100.0 if not long else 0.0 if not short else max(windows(x, y), windows(y, x)) if len(x) == len(y) else windows(short, long)
+        assert best == pytest.approx(want), (x, y)
     assert sim.ratio("", "") == 100 and sim.ratio("a", "") == 0
     assert sim.token_sort_ratio("b a", "a b") == 100 and sim.token_set_ratio("a b c", "c a") == 100
     assert sim.token_set_ratio("", "a") == 0 and sim.token_set_ratio("x", "y") == 0
-    assert sim.token_set_ratio("new york mets", "new york yankees") == pytest.approx(100 - 100 * 5 / 21, abs=8)
+    assert sim.ratios([], []).size == 0 and sim.partial_ratios([], []).size == 0
 
 
 def side(spark, rows):

@@ -253,7 +253,7 @@ def top_k_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features_31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_features(top_k_candidates(spark, sf_dir))
+    return pair_features(candidates.candidate_pairs(*anchors_and_targets(spark, sf_dir), PREDICT, measures=True))
 
 
 def result_lists_by_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

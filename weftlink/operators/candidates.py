@@ -18,6 +18,9 @@ from weftlink.plans.settings import DEFAULT, Settings
 FIELDS = ("name_norm", "clean_address", "city", "postal_code", "country_norm")
 PAIR = ("s1_entity_id", "target_entity_id", "source_id", "blocking_score") + tuple(f"{side}_{f}" for side in ("s1", "target") for f in ("name", "address", "city", "postal", "country"))
 
+#: Structs of the similarities of names and addresses.
+MEASURES = ("_n", "_a")
+
 
 def target_space(*sources: tuple[DataFrame, int]) -> DataFrame:
     """The targets of several sources under one roof; ``pos`` orders the rows of a source (default: the id)."""
@@ -64,14 +67,14 @@ def _side(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def scored(pairs: DataFrame, anchors: DataFrame, targets: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """The pairs with both records' texts and the blocking score; texts join after the pairs are distinct."""
+    """The pairs with both records' texts, the blocking score, and the measures it is made of (``MEASURES``); texts join after the pairs are distinct."""
     both = pairs.join(_side(anchors, "s1"), "s1_entity_id").join(_side(targets, "target"), "target_entity_id")
     both = both.withColumn("_n", similarities(F.col("s1_name"), F.col("target_name"), "ratio", "token_sort_ratio", "token_set_ratio"))
-    both = both.withColumn("_a", similarities(F.col("s1_address"), F.col("target_address"), "ratio", "token_set_ratio") if settings.strategy == "fallback" else similarities(F.col("s1_address"), F.col("target_address"), "token_set_ratio"))
+    both = both.withColumn("_a", similarities(F.col("s1_address"), F.col("target_address"), "ratio", "token_set_ratio"))
     score = blocking_score(F.col("_n"), F.col("_a"), F.col("s1_name"), F.col("target_name"), F.col("s1_address"), F.col("target_address"), settings.strategy)
     if settings.strategy == "postal":
         score = score + F.when((F.col("s1_postal") != "") & (F.col("s1_postal") == F.col("target_postal")), 10.0).otherwise(0.0)
-    return both.withColumn("blocking_score", score).drop("_n", "_a")
+    return both.withColumn("blocking_score", score)
 
 
 def best(pairs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -81,9 +84,10 @@ def best(pairs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return good.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= settings.max_candidates)
 
 
-def candidate_pairs(anchors: DataFrame, targets: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """The 14 columns of a candidate pair and its rank."""
-    return best(scored(shared_keys(anchors, targets, settings), anchors, targets, settings), settings).select(*PAIR, "rank")
+def candidate_pairs(anchors: DataFrame, targets: DataFrame, settings: Settings = DEFAULT, measures: bool = False) -> DataFrame:
+    """The 14 columns of a candidate pair and its rank; with ``measures``, also what its score is made of, for ``pair_features``."""
+    found = best(scored(shared_keys(anchors, targets, settings), anchors, targets, settings), settings)
+    return found.select(*PAIR, "rank", *(MEASURES if measures else ()))
 
 
 def index_stats(targets: DataFrame, rules: KeyRules = DEFAULT.keys) -> DataFrame:
