@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from weftlink import catalog
+from weftlink import catalog, oracle
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,6 +31,18 @@ def test_query(spark, duck, name):
     assert sorted(ours.columns) == sorted(theirs.columns) and plain(ours) == plain(theirs)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+@pytest.mark.parametrize(("mode", "cap", "keep"), [("first", 8, 3), ("skip", 8, 0), ("truncate", 8, 8)])
+def test_caps_that_bite(spark, duck, monkeypatch, mode, cap, keep):
+    """The caps of the queries are those of the workflow, which few keys of small tables reach."""
+    whole = duck.sql(oracle.queries()["block_join_truncate"]).df()
+    monkeypatch.setitem(oracle.CAPS, mode, (cap, keep))
+    monkeypatch.setitem(catalog.CAPS, mode, catalog.CAPS[mode].with_(cap=cap, cap_take=keep))
+    name = {"first": "block_join_capped"}.get(mode, f"block_join_{mode}")
+    ours, theirs = catalog.queries()[name](spark, DATA).toPandas(), duck.sql(oracle.queries()[name]).df()
+    assert plain(ours) == plain(theirs) and len(ours) < len(whole)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 def test_flagship(spark):
     import __spark_entry__

@@ -19,7 +19,7 @@ from weftlink.functions.text import tokens
 from weftlink.operators import candidates, evaluate, model, profile, recall, validate
 from weftlink.operators.features import FEATURES, pair_features
 from weftlink.plans.resolve import counters, resolve, resolve_by_score, result_lists
-from weftlink.plans.settings import PREDICT, TRAIN, Settings
+from weftlink.plans.settings import PREDICT, TRAIN
 from weftlink.sources.tables import normalise_entities, normalise_truth
 
 ENTITY_VIEW = """
@@ -131,12 +131,32 @@ def top_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.top_keys(candidates.key_sizes(anchors_and_targets(spark, sf_dir)[1]))
 
 
-#: Caps small enough to bite on the test tables.
-SMALL = Settings(cap=40, cap_take=10, max_candidates=15, min_score=35.0)
+#: The workflow's own settings, and those of the experiments with other ways to cut a frequent key.
+CAPS = {"first": PREDICT, "skip": PREDICT.with_(cap=1000, cap_mode="skip"), "truncate": PREDICT.with_(cap=1000, cap_mode="truncate")}
 
 
 def _joined(spark: SparkSession, sf_dir: str, mode: str = "first") -> DataFrame:
-    return candidates.shared_keys(*anchors_and_targets(spark, sf_dir), SMALL.with_(cap_mode=mode))
+    return candidates.shared_keys(*anchors_and_targets(spark, sf_dir), CAPS[mode])
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, t = anchors_and_targets(spark, sf_dir)
+    return candidates.scored(_joined(spark, sf_dir), a, t, PREDICT)
+
+
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every joined pair with its blocking score."""
+    return _rounded(_scored(spark, sf_dir).select("s1_entity_id", "target_entity_id", "source_id", "blocking_score"))
+
+
+def score_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocking score of true links by each of the weightings."""
+    a, t = anchors_and_targets(spark, sf_dir)
+    pairs, out = true_links(spark, sf_dir).distinct(), None
+    for strategy in ("standard", "fallback", "weighted", "postal"):
+        own = candidates.scored(pairs, a, t, PREDICT.with_(strategy=strategy)).select("s1_entity_id", "target_entity_id", F.col("blocking_score").alias(strategy))
+        out = own if out is None else out.join(own, ["s1_entity_id", "target_entity_id"])
+    return _rounded(out)
 
 
 def block_join_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +180,7 @@ def _simple_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_k_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.best(_simple_scores(spark, sf_dir), SMALL.with_(max_candidates=5, min_score=10.0)).select("s1_entity_id", "target_entity_id", "blocking_score", "rank")
+    return candidates.best(_simple_scores(spark, sf_dir), PREDICT.with_(max_candidates=5, min_score=10.0)).select("s1_entity_id", "target_entity_id", "blocking_score", "rank")
 
 
 def true_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +192,7 @@ def true_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = candidates.best(_simple_scores(spark, sf_dir), SMALL.with_(max_candidates=30, min_score=0.0))
+    ranked = candidates.best(_scored(spark, sf_dir), PREDICT.with_(max_candidates=30))
     return _rounded(recall.recall_at(true_links(spark, sf_dir), ranked))
 
 
@@ -181,7 +201,7 @@ def raw_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missed_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = candidates.best(_simple_scores(spark, sf_dir), SMALL.with_(max_candidates=30, min_score=0.0))
+    ranked = candidates.best(_scored(spark, sf_dir), PREDICT.with_(max_candidates=30))
     return recall.missed(true_links(spark, sf_dir), ranked, 5)
 
 
@@ -208,15 +228,14 @@ def class_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact and assumed hits over the plain score as a probability."""
-    pairs = _simple_scores(spark, sf_dir).select("s1_entity_id", "target_entity_id", (F.col("blocking_score") / 100).alias("prob"))
+    """Exact and assumed hits over the blocking score as a probability."""
+    pairs = _scored(spark, sf_dir).select("s1_entity_id", "target_entity_id", (F.col("blocking_score") / 100).alias("prob"))
     truth = true_links(spark, sf_dir).groupBy(F.col("s1_entity_id").alias("id")).agg(F.collect_list("target_entity_id").alias("truth"))
     pairs = model.label_pairs(pairs, truth).withColumnRenamed("s1_entity_id", "id")
     ids = raw_entities(spark, sf_dir).where("source_no = 1").select(F.col("entity_id").alias("id"))
     sizes = ids.join(truth, "id", "left").select("id", F.coalesce(F.size("truth"), F.lit(0)).alias("n_truth"))
     sizes = sizes.withColumn("n_truth", F.greatest("n_truth", F.lit(0)))
-    exact, assumed = (evaluate.threshold_sweep(pairs, sizes, exact=e) for e in (True, False))
-    return _rounded(exact.join(assumed.withColumnRenamed("macro_f05", "assumed_f05"), "threshold"))
+    return _rounded(evaluate.threshold_sweep(pairs, sizes, both=True))
 
 
 def simple_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,19 +264,20 @@ def pair_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, t = anchors_and_targets(spark, sf_dir)
     both = profile.true_pairs(true_links(spark, sf_dir).union(_joined(spark, sf_dir).select("s1_entity_id", "target_entity_id")).distinct(), a, t, ["name_norm"])
     sims = similarities(F.col("a_name_norm"), F.col("b_name_norm"), "ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio")
-    return both.select("s1_entity_id", "target_entity_id", sims.alias("s")).select("s1_entity_id", "target_entity_id", "s.*")
+    return _rounded(both.select("s1_entity_id", "target_entity_id", sims.alias("s")).select("s1_entity_id", "target_entity_id", "s.*"))
 
 
 def top_k_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.candidate_pairs(*anchors_and_targets(spark, sf_dir), PREDICT)
+    return _rounded(candidates.candidate_pairs(*anchors_and_targets(spark, sf_dir), PREDICT))
 
 
 def features_31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_features(candidates.candidate_pairs(*anchors_and_targets(spark, sf_dir), PREDICT, measures=True))
+    made = pair_features(candidates.candidate_pairs(*anchors_and_targets(spark, sf_dir), PREDICT, measures=True))
+    return made.select("s1_entity_id", "target_entity_id", "source_id", *(F.round(F.col(f).cast("double"), 5).alias(f) for f in FEATURES))
 
 
 def result_lists_by_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = candidates.best(_simple_scores(spark, sf_dir), SMALL.with_(max_candidates=5, min_score=10.0))
+    pairs = candidates.best(_simple_scores(spark, sf_dir), PREDICT.with_(max_candidates=5, min_score=10.0))
     return result_lists(anchors_and_targets(spark, sf_dir)[0], pairs.withColumn("match", F.col("blocking_score") >= 60))
 
 
@@ -267,7 +287,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inference_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counters(result_lists_by_jaccard(spark, sf_dir))
+    return counters(flagship(spark, sf_dir))
 
 
 def gbt_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,7 +349,7 @@ NAMES = (
     empty_cells, prefix_integrity, normalize_name, normalize_country, normalize_address, blocking_keys, block_sizes,
     index_stats, top_keys, block_join_capped, block_join_skip, block_join_truncate, top_k_jaccard, true_links, recall_at_k, raw_coverage,
     missed_at_k, candidate_count_stats, agreement_stats, key_recall, label_join, class_weight, threshold_sweep,
-    simple_features, digit_jaccard, pair_similarities, top_k_candidates, features_31, result_lists_by_jaccard,
+    simple_features, digit_jaccard, pair_similarities, scored_pairs, score_strategies, top_k_candidates, features_31, result_lists_by_jaccard,
     inference_counters, flagship, gbt_resolve, validate_findings, validate_counts, sample_anchors, sample_links,
 )
 

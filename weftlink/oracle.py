@@ -108,13 +108,16 @@ KEYED = ENTITIES + rf""", pre_k as (
 )"""
 
 
+CAPS = {"first": (300, 100), "skip": (1000, 0), "truncate": (1000, 1000)}
+
+
 def _capped(mode: str = "first") -> str:
-    keep = {"first": 10, "skip": 0, "truncate": 40}[mode]
+    cap, keep = CAPS[mode]
     return KEYED + f""", ranked_k as (
   select *, row_number() over (partition by key order by source_no, pos) as rn, count(*) over (partition by key) as df from keyed where source_no <> 1
 ), met as (
   select distinct a.entity_id as s1_entity_id, t.entity_id as target_entity_id, t.source_no as source_id, t.pos
-  from keyed a join ranked_k t using (key) where a.source_no = 1 and (t.df <= 40 or t.rn <= {keep})
+  from keyed a join ranked_k t using (key) where a.source_no = 1 and (t.df <= {cap} or t.rn <= {keep})
 )"""
 
 
@@ -143,6 +146,99 @@ def _ranked(k: int, least: float) -> str:
 )"""
 
 
+def _lcs(asked: str, name: str) -> str:
+    """CTEs up to ``name`` (a, b, n): common lengths of the strings (a, b) of ``asked``, a of 126 letters at most, by bit vectors."""
+    every = "((1::uhugeint << length(a)::uhugeint) - 1::uhugeint)"
+    return f""", {name}_k as (
+  select a, map_from_entries(list({{'k': c, 'v': m}})) as masks from (
+    select a, c, bit_or(1::uhugeint << (i - 1)::uhugeint) as m
+    from (select a, unnest(string_split(a, '')) as c, generate_subscripts(string_split(a, ''), 1) as i from (select distinct a from {asked})) group by a, c
+  ) group by a
+), {name} as (
+  select a, b, length(a) - bit_count((list_reduce(list_transform(string_split(b, ''), lambda c: coalesce(masks[c], 0::uhugeint)),
+    lambda s, m: ((s + (s & m)) | (s - (s & m))) & {every}, {every}))::hugeint) as n
+  from (select distinct a, b from {asked}) join {name}_k using (a)
+)"""
+
+
+def _joined_lcs(x: str, y: str, alias: str) -> str:
+    return f"left join lcs {alias} on {alias}.a = case when length({x}) <= length({y}) then {x} else {y} end and {alias}.b = case when length({x}) <= length({y}) then {y} else {x} end"
+
+
+def _ratio(x: str, y: str, alias: str) -> str:
+    return f"case when length({x}) + length({y}) = 0 then 100::double else 200::double * coalesce({alias}.n, 0) / (length({x}) + length({y})) end"
+
+
+def _measures(pairs: str) -> str:
+    """CTEs up to ``names``, ``addresses`` and ``cities``: (x, y, r, ts, tset) of the texts of ``pairs`` (s1_entity_id, target_entity_id)."""
+    out = f""", txt as (
+  select m.s1_entity_id, m.target_entity_id, a.name_norm as an, t.name_norm as tn, a.clean_address as aa, t.clean_address as ta, coalesce(a.city, '') as ac, coalesce(t.city, '') as tc
+  from {pairs} m join ent a on a.entity_id = m.s1_entity_id join ent t on t.entity_id = m.target_entity_id
+)"""
+    kinds = {"names": ("an", "tn"), "addresses": ("aa", "ta"), "cities": ("ac", "tc")}
+    for k, (x, y) in kinds.items():
+        out += f""", {k}_w as (
+  select x, y, {_split("x")} as wx, {_split("y")} as wy from (select distinct {x} as x, {y} as y from txt)
+), {k}_t as (
+  select x, y, array_to_string(list_sort(wx), ' ') as sx, array_to_string(list_sort(wy), ' ') as sy, len(list_distinct(wx)) as nx, len(list_distinct(wy)) as ny,
+    list_sort(list_intersect(wx, wy)) as sh, array_to_string(list_sort(list_distinct(list_filter(wx, lambda w: not list_contains(wy, w)))), ' ') as own,
+    array_to_string(list_sort(list_distinct(list_filter(wy, lambda w: not list_contains(wx, w)))), ' ') as other
+  from {k}_w
+)"""
+    sides = " union all ".join(f"select {p} as x, {q} as y from {k}_t" for k in kinds for p, q in (("x", "y"), ("sx", "sy"), ("own", "other")))
+    out += f""", asked as (
+  select distinct case when length(x) <= length(y) then x else y end as a, case when length(x) <= length(y) then y else x end as b from ({sides}) where x <> '' and y <> ''
+)""" + _lcs("asked", "lcs")
+    for k in kinds:
+        out += f""", {k}_n as (
+  select t.*, {_ratio("t.x", "t.y", "l1")} as r, {_ratio("sx", "sy", "l2")} as ts, coalesce(l3.n, 0) as common, length(array_to_string(sh, ' ')) as base, length(own) as n_own, length(other) as n_other
+  from {k}_t t {_joined_lcs("t.x", "t.y", "l1")} {_joined_lcs("sx", "sy", "l2")} {_joined_lcs("own", "other", "l3")}
+), {k}_g as (
+  select *, case when base > 0 then 1 else 0 end as gap from {k}_n
+), {k} as (
+  select x, y, r, ts, case when nx = 0 or ny = 0 then 0::double when base > 0 and (len(sh) = nx or len(sh) = ny) then 100::double
+    when base = 0 then 100::double - 100::double * (n_own + n_other - 2 * common) / (n_own + n_other)
+    else greatest(100::double - 100::double * (n_own + n_other - 2 * common) / (2 * base + 2 * gap + n_own + n_other),
+      100::double - 100::double * (gap + n_own) / (2 * base + gap + n_own), 100::double - 100::double * (gap + n_other) / (2 * base + gap + n_other)) end as tset
+  from {k}_g
+)"""
+    return out
+
+
+def _partial(pairs: str) -> str:
+    """CTEs up to ``parts`` (x, y, best): the best window of the names (an, tn) of ``pairs``."""
+    return f""", part_p as (
+  select distinct an as x, tn as y from {pairs}
+), part_s as (
+  select x, y, x as s, y as l from part_p where length(x) <= length(y) and x <> '' union all select x, y, y, x from part_p where length(y) <= length(x) and y <> ''
+), part_w as (
+  select x, y, s as a, substr(l, greatest(0, e - length(s)) + 1, least(e, length(l)) - greatest(0, e - length(s))) as b
+  from (select *, unnest(range(1, length(l) + length(s))) as e from part_s)
+)""" + _lcs("part_w", "part_l") + """, parts as (
+  select p.x, p.y, case when p.x = '' and p.y = '' then 100::double else coalesce(max(200::double * l.n / (length(w.a) + length(w.b))), 0) end as best
+  from part_p p left join part_w w on w.x = p.x and w.y = p.y left join part_l l on l.a = w.a and l.b = w.b group by p.x, p.y
+)"""
+
+
+_LACKS = "(aa = '' or ta = '')"
+_ADDRESS = f"(case when {_LACKS} then 0::double else a.tset end)"
+_FULL = "greatest(n.r, n.ts, 0.92::double * n.tset)"
+_STANDARD = f"""case when an = '' or tn = '' then 0::double when {_LACKS} then {_FULL} when {_FULL} >= 80 then 0.85::double * {_FULL} + 0.15::double * {_ADDRESS}
+    when {_FULL} < 30 and {_ADDRESS} > 50 then {_ADDRESS} else 0.60::double * {_FULL} + 0.40::double * {_ADDRESS} end"""
+MEASURED = _capped() + LINKS + _measures("met") + f""", scored as (
+  select m.*, an, tn, n.r as name_r, n.ts as name_ts, n.tset as name_set, a.r as address_r, a.tset as address_set, c.r as city_r, {_STANDARD} as blocking_score
+  from met m join txt using (s1_entity_id, target_entity_id) join names n on n.x = an and n.y = tn join addresses a on a.x = aa and a.y = ta join cities c on c.x = ac and c.y = tc
+)"""
+
+
+def _top(k: int, least: float) -> str:
+    return MEASURED + f""", best as (
+  select * from (
+    select *, row_number() over (partition by s1_entity_id order by blocking_score desc, source_id, pos, target_entity_id)::int as rank from scored where blocking_score >= {least}
+  ) where rank <= {k}
+)"""
+
+
 LISTS = """lists as (
   select 'S1-' || o_custkey as source1_entity_id,
     coalesce(string_agg(case when o_orderstatus = 'F' then 'S2-' || o_orderkey end, ',' order by o_orderkey), '') as truth,
@@ -177,7 +273,8 @@ def _with(ctes: str, select: str) -> str:
     return f"with {ctes.strip()}{'' if select.startswith(',') else chr(10)}{select}"
 
 
-def _feature_sql() -> str:
+def _feature_sql(edits: bool = False) -> str:
+    """The features of all joined pairs, or with those from edit distances of the best ones."""
     a, b = _split("a.name_norm"), _split("t.name_norm")
     ca, cb = _split("a.clean_address"), _split("t.clean_address")
     da, db = (rf"list_distinct(regexp_extract_all({x}.clean_address, '(\p{{Nd}}+)', 1))" for x in "at")
@@ -212,6 +309,23 @@ def _feature_sql() -> str:
         "exact_name_and_city": flag(f"{same['name']} and {same['city']}"),
         "exact_name_and_postal": flag(f"{same['name']} and {same['postal']}"),
     }
+    if edits:
+        flagged = lambda x: f"round((case when {x} end)::float::double, 5)"
+        set_n, set_a = f"(case when {both_n} then m.name_set / 100 else 0 end)", f"(case when {both_a} then m.address_set / 100 else 0 end)"
+        cols |= {
+            "name_ratio": flagged(f"{both_n} then m.name_r / 100 else 0"),
+            "name_partial_ratio": flagged(f"{both_n} then p.best / 100 else 0"),
+            "name_token_sort_ratio": flagged(f"{both_n} then m.name_ts / 100 else 0"),
+            "name_token_set_ratio": flagged(f"{both_n} then m.name_set / 100 else 0"),
+            "addr_ratio": flagged(f"{both_a} then m.address_r / 100 else 0"),
+            "addr_token_set_ratio": flagged(f"{both_a} then m.address_set / 100 else 0"),
+            "city_ratio": flagged(f"{both['city']} then m.city_r / 100 else 0"),
+            "blocking_score": flagged("m.blocking_score > 1 then m.blocking_score / 100 else m.blocking_score"),
+            "name_x_addr": flagged(f"{both_a} then {set_n} * {set_a} else {set_n} * 0.5"),
+        }
+        made = ",\n  ".join(f"{v} as {k}" for k, v in cols.items())
+        rest = "from best m join ent a on a.entity_id = m.s1_entity_id join ent t on t.entity_id = m.target_entity_id join parts p on p.x = a.name_norm and p.y = t.name_norm"
+        return _with(_top(15, 35) + _partial("best"), f"select m.s1_entity_id, m.target_entity_id, m.source_id,\n  {made}\n{rest}")
     picked = ",\n  ".join(f"{v} as {k}" for k, v in cols.items())
     return _with(_capped(), f"select m.s1_entity_id, m.target_entity_id,\n  {picked}\nfrom met m join ent a on a.entity_id = m.s1_entity_id join ent t on t.entity_id = m.target_entity_id")
 
@@ -250,12 +364,12 @@ def queries() -> dict[str, str]:
         "top_k_jaccard": _with(_ranked(5, 10), "select s1_entity_id, target_entity_id, blocking_score, rank from best"),
         "true_links": _with(RAW + LINKS, "select * from links"),
         "recall_at_k": _with(
-            _ranked(30, 0),
+            _top(30, 35),
             """select k, count(*) as n_true, count(*) filter (rank <= k) as n_covered, round(count(*) filter (rank <= k) / count(*)::double, 6) as recall
 from (select distinct * from links) l left join best b using (s1_entity_id, target_entity_id), (values (5), (10), (15), (20), (25), (30)) ks(k) group by k""",
         ),
         "raw_coverage": _with(_capped() + LINKS, "select count(*) as n_true, count(m.source_id) as n_covered, round(count(m.source_id) / count(*)::double, 6) as recall from (select distinct * from links) l left join met m using (s1_entity_id, target_entity_id)"),
-        "missed_at_k": _with(_ranked(30, 0), "select s1_entity_id, target_entity_id, coalesce(rank - 1, -1)::int as rank from (select distinct * from links) l left join best b using (s1_entity_id, target_entity_id) where coalesce(rank > 5, true)"),
+        "missed_at_k": _with(_top(30, 35), "select s1_entity_id, target_entity_id, coalesce(rank - 1, -1)::int as rank from (select distinct * from links) l left join best b using (s1_entity_id, target_entity_id) where coalesce(rank > 5, true)"),
         "candidate_count_stats": _with(
             _capped(),
             """, per as (select e.entity_id, count(m.s1_entity_id) as n from raw_e e left join met m on m.s1_entity_id = e.entity_id where e.source_no = 1 group by 1)
@@ -283,7 +397,7 @@ from links l left join gathered a on a.entity_id = l.s1_entity_id left join gath
 select count(*) as n_pairs, sum(label)::bigint as n_positive, round(greatest(1.0, (count(*) - sum(label)) / greatest(1, 4 * sum(label))::double), 6) as pos_weight from lab""",
         ),
         "threshold_sweep": _with(
-            SCORED,
+            MEASURED,
             """, th as (select (40 + 5 * i)::double / 100 as threshold from range(11) r(i)), n_t as (
   select e.entity_id as id, count(l.s1_entity_id) as n_truth from raw_e e left join links l on l.s1_entity_id = e.entity_id where e.source_no = 1 group by 1
 ), p as (
@@ -302,6 +416,37 @@ select threshold, round(avg(case when n_truth = 0 and n = 0 then 1.0 when n_trut
   from met m join ent a on a.entity_id = m.s1_entity_id join ent t on t.entity_id = m.target_entity_id
 )
 select s1_entity_id, target_entity_id, len(x)::int as n_a, len(y)::int as n_b, round({_jaccard("x", "y")}, 6)::double as digits_jaccard from d""",
+        ),
+        "top_k_candidates": _with(
+            _top(15, 35),
+            """select s1_entity_id, target_entity_id, source_id, round(blocking_score, 6) as blocking_score, rank,
+  a.name_norm as s1_name, a.clean_address as s1_address, coalesce(a.city, '') as s1_city, coalesce(a.postal_code, '') as s1_postal, a.country_norm as s1_country,
+  t.name_norm as target_name, t.clean_address as target_address, coalesce(t.city, '') as target_city, coalesce(t.postal_code, '') as target_postal, t.country_norm as target_country
+from best b join ent a on a.entity_id = b.s1_entity_id join ent t on t.entity_id = b.target_entity_id""",
+        ),
+        "scored_pairs": _with(MEASURED, "select s1_entity_id, target_entity_id, source_id, round(blocking_score, 6) as blocking_score from scored"),
+        "features_31": _feature_sql(edits=True),
+        "flagship": _with(
+            _top(15, 35),
+            """select e.entity_id as source1_entity_id, coalesce(string_agg(target_entity_id, ',' order by rank) filter (blocking_score >= 70), '') as matched_entity_ids,
+  coalesce(string_agg(target_entity_id, ',' order by rank), '') as candidate_entity_ids
+from raw_e e left join best b on b.s1_entity_id = e.entity_id where e.source_no = 1 group by e.entity_id""",
+        ),
+        "pair_similarities": _with(
+            _capped() + LINKS + ", either as (select s1_entity_id, target_entity_id from met union select s1_entity_id, target_entity_id from links)" + _measures("either") + _partial("txt"),
+            """select s1_entity_id, target_entity_id, round(n.r, 6) as ratio, round(p.best, 6) as partial_ratio, round(n.ts, 6) as token_sort_ratio, round(n.tset, 6) as token_set_ratio
+from txt join names n on n.x = an and n.y = tn join parts p on p.x = an and p.y = tn""",
+        ),
+        "score_strategies": _with(
+            ENTITIES + LINKS + ", linked as (select distinct * from links)" + _measures("linked"),
+            f"""select s1_entity_id, target_entity_id, round({_STANDARD}, 6) as standard,
+  round(case when n.r < 30 and not {_LACKS} then greatest(n.r, 0.8::double * a.r) else n.r end, 6) as fallback,
+  round(case when greatest(n.r, n.ts) < 30 and {_ADDRESS} > 60 then {_ADDRESS}
+    else greatest(0.7::double * greatest(n.r, n.ts) + 0.3::double * {_ADDRESS}, 0.5::double * greatest(n.r, n.ts) + 0.5::double * {_ADDRESS}) end, 6) as weighted,
+  round(case when greatest(n.r, n.ts, 0.9::double * n.tset) < 30 and {_ADDRESS} > 60 then {_ADDRESS} else 0.65::double * greatest(n.r, n.ts, 0.9::double * n.tset) + 0.35::double * {_ADDRESS} end
+    + case when e.postal_code <> '' and e.postal_code = t.postal_code then 10::double else 0::double end, 6) as postal
+from txt join names n on n.x = an and n.y = tn join addresses a on a.x = aa and a.y = ta
+  join ent e on e.entity_id = s1_entity_id join ent t on t.entity_id = target_entity_id""",
         ),
         "result_lists_by_jaccard": _with(
             _ranked(5, 10),
@@ -310,9 +455,9 @@ select s1_entity_id, target_entity_id, len(x)::int as n_a, len(y)::int as n_b, r
 from raw_e e left join best b on b.s1_entity_id = e.entity_id where e.source_no = 1 group by e.entity_id""",
         ),
         "inference_counters": _with(
-            _ranked(5, 10),
+            _top(15, 35),
             """, per as (
-  select e.entity_id, count(target_entity_id) filter (blocking_score >= 60) as m, count(target_entity_id) as c
+  select e.entity_id, count(target_entity_id) filter (blocking_score >= 70) as m, count(target_entity_id) as c
   from raw_e e left join best b on b.s1_entity_id = e.entity_id where e.source_no = 1 group by 1
 )
 select count(*) as n_anchors, count(*) filter (m > 0) as n_matched, count(*) filter (m = 0) as n_singletons, sum(c)::bigint as n_candidates, sum(m)::bigint as n_matches from per""",
