@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from weftlink import catalog, oracle
+from weftlink import catalog, catalog_files, oracle
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,7 +27,8 @@ def duck():
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, duck, name):
-    ours, theirs = catalog.queries()[name](spark, DATA).toPandas(), duck.sql(catalog.oracle_sql()[name]).df()
+    known = catalog.queries() | catalog_files.queries()
+    ours, theirs = known[name](spark, DATA).toPandas(), duck.sql(catalog.oracle_sql()[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns) and plain(ours) == plain(theirs)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftlink.sources.tables import exists, header, read_id_lists
@@ -55,11 +55,22 @@ def row_counts(lists: DataFrame) -> DataFrame:
     return lists.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(empty).alias("n_empty"), F.count_if(~empty).alias("n_filled"))
 
 
-def _say(problems: list[str], found: DataFrame, what: str) -> None:
-    n = found.count()
-    if n:
-        shown = ", ".join(str(r[0]) for r in found.orderBy(found.columns[0]).limit(SHOWN).collect())
-        problems.append(f"{what}: {n} ({shown}{', ...' if n > SHOWN else ''})")
+def _say(problems: list[str], checks: dict[str, DataFrame]) -> None:
+    """A message for each check that found something: how often, and the first few. Two jobs serve all checks."""
+    every = None
+    for n, found in enumerate(checks.values()):
+        part = found.select(F.lit(n).alias("n"), F.col(found.columns[0]).alias("value"))
+        every = part if every is None else every.union(part)
+    counts = {r["n"]: r["count"] for r in every.groupBy("n").count().collect()}
+    if not counts:
+        return
+    ranked = every.withColumn("_rank", F.row_number().over(Window.partitionBy("n").orderBy("value"))).where(F.col("_rank") <= SHOWN)
+    shown: dict[int, list[str]] = {}
+    for row in sorted(ranked.collect(), key=lambda r: (r["n"], r["_rank"])):
+        shown.setdefault(row["n"], []).append(str(row["value"]))
+    for n, what in enumerate(checks):
+        if n in counts:
+            problems.append(f"{what}: {counts[n]} ({', '.join(shown[n])}{', ...' if counts[n] > SHOWN else ''})")
 
 
 def check_file(spark: SparkSession, path: str, kind: str, required: DataFrame, targets: DataFrame | None, errors: list[str]) -> DataFrame | None:
@@ -78,9 +89,9 @@ def check_file(spark: SparkSession, path: str, kind: str, required: DataFrame, t
         errors.append(f"{path} has header {first!r}")
         return None
     lines = read_id_lists(spark, path)
-    _say(errors, lines.where("not has_tab").select("line"), "rows without a tab")
     lists = lines.where("has_tab")
     checks = {
+        "rows without a tab": lines.where("not has_tab").select("line"),
         "anchors on several rows": duplicate_anchors(lists),
         "lists with a repeated id": repeated_in_list(lists),
         "S1- ids among the matches": self_matches(lists),
@@ -90,8 +101,7 @@ def check_file(spark: SparkSession, path: str, kind: str, required: DataFrame, t
     }
     if targets is not None:
         checks["unknown target ids"] = unknown_targets(lists, targets)
-    for what, found in checks.items():
-        _say(errors, found, what)
+    _say(errors, checks)
     return lists
 
 
@@ -105,5 +115,5 @@ def validate(spark: SparkSession, matched_path: str, candidate_path: str, requir
         return errors, warnings
     candidates = check_file(spark, candidate_path, "candidate", required, targets, errors)
     if matched is not None and candidates is not None:
-        _say(warnings, not_candidates(matched, candidates), "anchors with a match that is no candidate")
+        _say(warnings, {"anchors with a match that is no candidate": not_candidates(matched, candidates)})
     return errors, warnings

@@ -478,4 +478,66 @@ union all select 'not_candidate', g.id from g join base using (id) where len(lis
         ),
         "validate_counts": _with(FAULTY, "select count(*) as n_rows, count(*) filter (len(ids) = 0) as n_empty, count(*) filter (len(ids) > 0) as n_filled from subm"),
     }
-    return out
+    return out | _file_queries()
+
+
+def _draw(x: str, seed: int) -> str:
+    return f"('0x' || substr(md5({x} || ':{seed}'), 1, 8))::bigint"
+
+
+def _file_queries() -> dict[str, str]:
+    clean = lambda c: f"regexp_replace(coalesce({c}, ''), '[\t\r\n]', ' ', 'g') as {c}"
+    stated = lambda rows, names: f"select * from (values {', '.join(map(str, rows))}) v({names})"
+    # A lost row is also a missing anchor; a second header is an unexpected anchor with a wrong prefix. All but one lack the second file.
+    found = [("good", 0, 1), ("commas", 1, 1), ("no_tab", 1, 1), ("wrong_header", 1, 1), ("row_without_tab", 2, 1), ("header_twice", 2, 1), ("repeated_id", 1, 1), ("not_candidate", 0, 1), ("absent", 1, 1)]
+    chosen = f"""own_t as (
+  select entity_id from ent where source_no = 1 and country_norm in ('de', 'fr') order by {_draw("entity_id", 42)}, entity_id limit 100
+)"""
+    return {
+        "io_entity_file": _with(RAW, "select " + ", ".join(clean(c) for c in ("entity_id", "business_name", "business_address", "country")) + " from raw_e"),
+        "io_truth_file": _with(COUNTS, "select *, match_count = 0 as is_singleton from counts"),
+        "io_row_limit": _with(RAW, "select least(100, count(*))::bigint as n_rows, least(100, count(*))::bigint as n_ids from raw_e"),
+        "io_missing_inputs": stated([("file", "FileNotFoundError"), ("column", "KeyError")], "missing, error"),
+        "io_parquet_replaced": _with(
+            ENTITIES, "select e.entity_id, 'source1' as source, name_norm, clean_address, street, city, state, postal_code, country_norm, raw_landmark, coalesce(business_name, '') as raw_name, coalesce(business_address, '') as raw_address from ent e join raw_e r using (entity_id)"
+        ),
+        "io_parquet_report": "select count(*) as n_rows, true as measured from documents",
+        "io_pruned_scan": _with(ENTITIES, "select count(*) as n_rows, count(*) as n_places, (2 * count(*))::bigint as sources, count(city) as n_cities, max(name_norm) as last_name from ent"),
+        "io_result_files": _with(LISTS, "select 'matching' as file, true as has_tab, source1_entity_id as id, truth as ids from lists union all select 'candidate', true, source1_entity_id, pred from lists"),
+        "io_id_sets": _with(RAW, "select 'text' as kind, entity_id as id from raw_e where source_no = 2 union all select 'parquet', entity_id from raw_e"),
+        "io_match_targets": _with(RAW, "select entity_id as id from raw_e where source_no <> 1"),
+        "io_inventory": stated([("test_source2.tsv",), ("test_source3.tsv",)], "name").replace("select *", "select name, true as discovered"),
+        "io_scan_heads": _with(RAW, "select coalesce(country, '') as value, count(*) as n from raw_e group by 1 union all " + stated([("entity_id",), ("business_name",), ("business_address",), ("country",)], "value").replace("select *", "select value, -1")),
+        "validate_files": stated(found, "name, n_errors, n_warnings"),
+        "grouped_folds": _with(_capped(), f"select s1_entity_id, target_entity_id, ({_draw('s1_entity_id', 0)} % 4)::int as fold from met"),
+        "training_rows": _with(
+            MEASURED + f", {chosen}" + """, best as (
+  select * from (select *, row_number() over (partition by s1_entity_id order by blocking_score desc, source_id, pos, target_entity_id) as rank from scored where blocking_score >= 30) where rank <= 20
+)""",
+            """select b.s1_entity_id, b.target_entity_id, source_id, case when l.s1_entity_id is null then 0 else 1 end as label, round((case when an <> '' and tn <> '' then name_r / 100 else 0 end)::float::double, 5) as name_ratio
+from best b join own_t o on o.entity_id = b.s1_entity_id left join (select distinct * from links) l on l.s1_entity_id = b.s1_entity_id and l.target_entity_id = b.target_entity_id""",
+        ),
+        "unknown_countries": _with(
+            KEYED.replace("from ent\n), keyed", "from (select * replace (case when pos % 5 = 0 then null when pos % 7 = 0 then '  ' else country_norm end as country_norm) from ent)\n), keyed"),
+            "select land as country, count(distinct entity_id) as n_targets, count(distinct key) as n_keys from keyed group by land",
+        ),
+        "distinct_countries": _with(ENTITIES, "select distinct country_norm from ent where pos % 5 > 0 and country_norm is not null"),
+        "exploded_links": _with(LISTS, "select source1_entity_id as s1_entity_id, unnest(string_split(truth, ',')) as target_entity_id from lists where truth <> ''"),
+        "decided_pairs": _with(_top(15, 35), "select s1_entity_id, target_entity_id, round(blocking_score / 100, 6) as prob from best where round(blocking_score / 100, 6) >= 0.7"),
+        "insertion_order": _with(ENTITIES, "select entity_id, country_norm, (row_number() over (partition by country_norm order by source_no, pos) - 1)::int as place from ent where source_no <> 1"),
+        "reduction_ratio": _with(
+            _capped(),
+            """, c as (select (select count(*) from met) as n_candidates, (select count(*) from raw_e where source_no = 1) as n_anchors, (select count(*) from raw_e where source_no <> 1) as n_targets)
+select *, round(1 - n_candidates / (n_anchors * n_targets)::double, 6) as ratio from c""",
+        ),
+        "first_misses": _with(
+            _top(30, 35),
+            "select s1_entity_id, target_entity_id, coalesce(rank - 1, -1)::int as rank from (select distinct * from links) l left join best b using (s1_entity_id, target_entity_id) where coalesce(rank > 5, true) order by 1, 2 limit 20",
+        ),
+        "sample_anchors": _with(RAW, f"select entity_id from raw_e order by {_draw('entity_id', 42)}, entity_id limit 100"),
+        "sample_links": _with(
+            LISTS,
+            f"""select source1_entity_id as s1_entity_id, (string_split(truth, ','))[1 + {_draw("source1_entity_id", 43)} % len(string_split(truth, ','))] as target_entity_id
+from (select * from lists where truth <> '' order by {_draw("source1_entity_id", 42)}, source1_entity_id limit 15)""",
+        ),
+    }

@@ -8,10 +8,13 @@ rows are padded with empty fields, rows with too many fields are left out, and n
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import time
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions.lists import id_items
@@ -32,9 +35,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(at))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value) lines without a trailing carriage return."""
-    return spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"))
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder that all executors see: below ``spark.checkpoint.dir``, on a single machine without one a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="weftlink-")
+    return f"{where}/{label}-{uuid.uuid4().hex}"
+
+
+def data_lines(spark: SparkSession, path: str, first: str) -> DataFrame:
+    """(value) lines but for one of each file that equals the header ``first``; a line that repeats the header is data."""
+    plain = F.regexp_replace(F.regexp_replace("value", "\r$", ""), "^\ufeff", "")
+    lines = spark.read.text(path).select(F.col("value"), plain.alias("_plain"), F.col("_metadata.file_path").alias("_file"))
+    # Only lines that read like the header meet in a task: one a file, but for faulty ones.
+    again = Window.partitionBy("_file").orderBy("value")
+    heads = lines.where(F.col("_plain") == first).withColumn("_n", F.row_number().over(again)).where("_n > 1")
+    return lines.where(F.col("_plain") != first).select("value").union(heads.select("value"))
 
 
 def header(spark: SparkSession, path: str) -> str | None:
@@ -53,7 +72,7 @@ def read_tsv(spark: SparkSession, path: str, columns: Iterable[str], limit: int
     missing = [c for c in columns if c not in names]
     if missing:
         raise KeyError(f"{path} lacks {missing}")
-    lines = read_lines(spark, path).where((F.col("value") != "") & (F.regexp_replace("value", "^\ufeff", "") != F.lit(first)))
+    lines = data_lines(spark, path, first).select(F.regexp_replace("value", "\r$", "").alias("value")).where("value <> ''")
     fields = F.split("value", "\t", -1)
     rows = lines.where(F.size(fields) <= len(names))
     out = rows.select(*(filled(F.get(fields, F.lit(names.index(c)))).alias(c) for c in columns))
@@ -90,17 +109,32 @@ def normalise_truth(raw: DataFrame) -> DataFrame:
     return raw.select("source1_entity_id", filled(F.col("matched_entity_ids")).alias("matched_entity_ids"), n.alias("match_count"), (n == 0).alias("is_singleton"))
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Put back the table that a writer had moved away when it was lost."""
+    (to, fs), (old, _) = _fs(spark, path), _fs(spark, f"{path.rstrip('/')}.before")
+    if fs.exists(old):
+        if fs.exists(to):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, to)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> dict:
     """Snappy Parquet in place of what is there, after it is complete; the report has rows, seconds and MB."""
     from pyspark.sql import Observation
 
     spark, began, seen = df.sparkSession, time.time(), Observation()
-    staged = f"{path.rstrip('/')}.writing"
+    staged, before = (f"{path.rstrip('/')}.{x}" for x in ("writing", "before"))
+    recover(spark, path)
     writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("compression", "snappy")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
-    (at, fs), (to, _) = _fs(spark, staged), _fs(spark, path)
-    fs.delete(to, True)
-    fs.rename(at, to)
+    (at, fs), (to, _), (old, _) = (_fs(spark, x) for x in (staged, path, before))
+    # Two renames: at any time the old or the new table is whole, here or under the name that ``recover`` knows.
+    if fs.exists(to) and not fs.rename(to, old):
+        raise OSError(f"{path} could not be moved away")
+    if not fs.rename(at, to):
+        raise OSError(f"{staged} could not be moved to {path}")
+    fs.delete(old, True)
     seconds = time.time() - began
     rows = seen.get["rows"]
     return {"rows": rows, "seconds": seconds, "rows_per_second": rows / max(seconds, 1e-9), "mb": fs.getContentSummary(to).getLength() / 1e6}
@@ -108,6 +142,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: Iterable[str] = ()) ->
 
 def read_normalised(spark: SparkSession, path: str, columns: Iterable[str] | None = None, source_id: int | None = None) -> DataFrame:
     """A normalised table, pruned to ``columns``; with ``source_id`` also (source_id, pos), the row's place in its source."""
+    recover(spark, path)
     df = spark.read.parquet(path)
     chosen = list(columns) if columns else df.columns
     if source_id is None:
@@ -122,7 +157,7 @@ def read_id_set(spark: SparkSession, path: str) -> DataFrame:
         df = spark.read.parquet(path)
         return df.select(F.trim(F.col(df.columns[0]).cast("string")).alias("id")).distinct()
     first = header(spark, path)
-    lines = read_lines(spark, path).where((F.trim("value") != "") & (F.col("value") != F.lit(first or "")))
+    lines = data_lines(spark, path, first or "").where(F.trim("value") != "")
     return lines.select(F.trim(F.substring_index("value", "\t", 1)).alias("id")).distinct()
 
 
@@ -140,7 +175,7 @@ def read_match_targets(spark: SparkSession, folder: str, names: Iterable[str] =
 def read_id_lists(spark: SparkSession, path: str) -> DataFrame:
     """(line, has_tab, id, ids) of the rows below the header of a results file; ids are neither trimmed nor dropped, blank rows go."""
     first = header(spark, path)
-    lines = spark.read.text(path).where((F.trim("value") != "") & (F.col("value") != F.lit(first or "")))
+    lines = data_lines(spark, path, first or "").where(F.trim("value") != "")
     rest = F.when(F.instr("value", "\t") > 0, F.expr("substring(value, instr(value, '\t') + 1)")).otherwise("")
     ids = F.when(F.trim(rest) == "", F.array().cast("array<string>")).otherwise(F.split(rest, ","))
     return lines.select(F.col("value").alias("line"), (F.instr("value", "\t") > 0).alias("has_tab"), F.substring_index("value", "\t", 1).alias("id"), ids.alias("ids"))
@@ -158,6 +193,21 @@ def inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return read.select("path", F.col("length").alias("bytes"))
 
 
+def find_dataset(spark: SparkSession, root: str, names: Iterable[str]) -> str | None:
+    """The first folder below ``root``, in order of its path, that holds files of all these names; None if none does."""
+    names = list(names)
+    at, fs = _fs(spark, root)
+    if not fs.exists(at):
+        return None
+    held: dict[str, set[str]] = {}
+    files = fs.listFiles(at, True)
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName() in names:
+            held.setdefault(path.getParent().toString(), set()).add(path.getName())
+    return min((folder for folder, some in held.items() if len(some) == len(set(names))), default=None)
+
+
 def zip_results(files: dict[str, str], target: str) -> None:
     """Pack local files under the given names."""
     import zipfile
