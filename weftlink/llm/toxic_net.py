@@ -5,7 +5,8 @@ both directions; its two end states and an embedding of the word, if it is one o
 frequent ones of the training windows, are its input, with two fixed
 numbers: how surely the word, and the surest of its 4-byte parts, is more frequent in
 positive than in other training documents (the lower end of a confidence interval of
-the logarithm of the ratio; 0 where it is not). Words: windows of consecutive words run through a second such layer; attention
+the logarithm of the ratio; 0 where it is not). Words: windows of consecutive words, each half
+over the one before, run through a second such layer; attention
 pools its states into one vector, from which the window's logit follows.
 
 Input projections are tables over bytes and over distinct words, so a step only gathers
@@ -18,7 +19,7 @@ import numpy as np
 
 from weftlink.llm.common import is_space, run_hashes, runs
 
-WINDOW, STRIDE, PIECE = 32, 24, 24
+WINDOW, STRIDE, PIECE = 32, 16, 24
 _C, _H, _V, _E, _A = 8, 8, 4096, 8, 8
 _F = np.float32
 

@@ -1,8 +1,9 @@
 """Toxicity scores of whole texts by a recurrent network over overlapping windows.
 
 The network (``toxic_net``) is trained on the driver on a bounded sample of labelled
-documents: at most ``SAMPLE`` of each label by hash order, and at most ``SAMPLE_WORDS`` words
-in all; documents beyond a twentieth of that are left out of the sample. A fifth of the
+documents: at most ``SAMPLE`` of each label by hash order, at most ``SAMPLE_WORDS`` words
+in all and ``SAMPLE_BYTES`` bytes a document; documents beyond that or a twentieth of the words
+are left out of the sample. A fifth of the
 sample is held back to turn the highest window's logit into a probability. Scoring is one pass
 over the texts without a shuffle; a document's score comes from the highest of all its windows.
 
@@ -19,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import BLOCK, slices, stored, table, text_bytes, words_of
+from weftlink.llm.common import BLOCK, discard, slices, stored, table, text_bytes, words_of
 from weftlink.llm.toxic_net import Windows, logits, train
 
 SAMPLE = 2500
 SAMPLE_WORDS = 2_000_000
+SAMPLE_BYTES = 1 << 20
 CUTOFF = 0.3
 
 
@@ -39,11 +41,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     first = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
     picked = first[0].union(first[1])
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
-    found = stored(found.withColumn("n", F.size(words_of(F.col("text")))).where(F.col("n").between(1, SAMPLE_WORDS // 20)), "toxic-sample")
+    found = stored(found.withColumn("n", F.size(words_of(F.col("text")))).where(F.col("n").between(1, SAMPLE_WORDS // 20) & (F.octet_length("text") <= SAMPLE_BYTES)), "toxic-sample")
     # At most 2 * SAMPLE rows (more only for repeated ids) without their texts.
     sums = found.select("doc_id", "toxic", "n").withColumn("sum", F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
     kept = sums.where(F.col("sum") <= SAMPLE_WORDS).select("doc_id").distinct()
     out = found.join(F.broadcast(kept), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic").limit(2 * SAMPLE).collect()
+    discard(found)
     return [(r["text"], r["toxic"]) for r in out]
 
 
