@@ -6,24 +6,28 @@
 2. Each document gets posteriors p over the domains; the evidence of a long text counts as
    that of ``EVIDENCE`` average words, so membership stays soft.
 3. Rates r >= 0, starting at 1, are moved by projected gradient steps on the squared gap
-   between expected domain totals sum r * tokens * p and the targets, each step scaled by the
-   inverse Gram matrix of documents with r > 0 (one number for each pair of domains):
+   between expected domain totals sum r * tokens * p and the targets. Steps are added up and
+   projected once, r = max(0, 1 - p . u), so a rate follows from one number for each domain, and
+   each is scaled by the inverse Gram matrix G of documents with r > 0:
 
-       r <- max(0, r - p . d),   d = G^-1 (totals - targets).
+       u <- u + s G^-1 (totals - targets),
 
-   A step is one aggregate over the stored posteriors; the rates are never stored between
-   steps, since they follow from the list of all d so far.
+   with s = 1 or the first quarter of it that brings the rates nearer (a line search on the
+   dual of: totals as near to the targets as can be, rates as near to 1). A look at a step is one
+   aggregate over the stored posteriors; ten or so looks are enough, also for targets out of reach.
 4. Copies of a document: floor(r + u), u uniform by hash of doc_id; expected copies are r.
 
 Defined results: a document without words has 0 tokens and the prior as posteriors; without
 labelled rows of any domain all posteriors are equal; domains whose total cannot be
-reached (no document leans to them) leave the least squared gap; repeated rows get equal
+reached (no document leans to them) leave a gap, which the result states; repeated rows get equal
 rates and copies; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import warnings
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +36,8 @@ from pyspark.sql import functions as F
 from weftlink.llm.common import WORD_BREAK, stored, table
 
 BUCKETS = 4096
+#: Weight, a token, that holds u where targets are out of reach.
+ANCHOR = 1e-9
 EVIDENCE = 60.0
 SAMPLE_ROWS = 20_000
 #: Target shares of the registered query.
@@ -87,40 +93,63 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col:
 NO_ID = -(1 << 63)
 
 
-def _rate(steps: list[list[float]]):
-    """The rate after these steps."""
-    r = F.lit(1.0)
-    for d in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.col(f"p_{i}") * x for i, x in enumerate(d)), F.lit(0.0)))
-    return r
+def _rate(u: Sequence[float]):
+    """The rate of a document after steps that sum to u."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p_{i}") * float(x) for i, x in enumerate(u)), F.lit(0.0)))
 
 
-def fit_rates(members: DataFrame, shares: list[float], budget: float | None = None, most_steps: int = 40, close: float = 1e-6) -> list[list[float]]:
-    """The steps d whose rates match ``shares`` of ``budget`` tokens (default: all tokens there are).
+class Rates(NamedTuple):
+    """The sum u of the steps, the share of all tokens by which a domain's total misses its target at most, and whether that is as little as can be."""
 
-    A few sums, as many as domains squared, reach the driver in each step.
+    u: list[float]
+    gap: float
+    converged: bool
+
+
+def fit_rates(members: DataFrame, shares: Sequence[float], budget: float | None = None, most_looks: int = 60, close: float = 1e-6) -> Rates:
+    """Rates that match ``shares`` of ``budget`` tokens (default: all tokens there are), or miss them by the least squares.
+
+    A few sums, as many as domains squared, reach the driver at each look.
     """
     k = len(shares)
-    steps: list[list[float]] = []
-    for _ in range(most_steps):
-        at = members.select("tokens", *(f"p_{i}" for i in range(k)), _rate(steps).alias("r"))
+
+    def look(u):
+        at = members.select("tokens", *(f"p_{i}" for i in range(k)), _rate(u).alias("r"))
         sums = [F.sum(F.col("r") * F.col("tokens") * F.col(f"p_{i}")) for i in range(k)]
         gram = [F.sum(F.when(F.col("r") > 0, F.col("tokens") * F.col(f"p_{i}") * F.col(f"p_{j}")).otherwise(0.0)) for i in range(k) for j in range(k)]
-        row = at.agg(F.sum("tokens"), *sums, *gram).first()
-        if not row[0]:
-            break
-        goal = np.array(shares) * (budget or row[0])
-        gap = np.array(row[1 : 1 + k], float) - goal
-        if np.abs(gap).max() <= close * row[0]:
-            break
-        d = np.linalg.lstsq(np.array(row[1 + k :], float).reshape(k, k), gap, rcond=1e-12)[0]
-        steps.append([float(x) for x in d])
-    return steps
+        row = at.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("r") * F.col("r")), *sums, *gram).first()
+        return [np.array(x if x is not None else 0.0, float) for x in (row[0], row[1], row[2 : 2 + k], row[2 + k :])]
+
+    u = np.zeros(k)
+    total, energy, sums, gram = look(u)
+    if not total:
+        return Rates([0.0] * k, 0.0, True)
+    goal, anchor, looks = np.array(shares) * (budget or total), ANCHOR * total, 1
+    value = lambda u, energy: float(energy) / 2 + goal @ u + anchor / 2 * u @ u
+    done = lambda ok: Rates([float(x) for x in u], float(np.abs(sums - goal).max() / total), ok)
+    while True:
+        gap = sums - goal
+        downhill = gap - anchor * u
+        if np.abs(gap).max() <= close * total or np.abs(downhill).max() <= 0.1 * close * total:
+            return done(True)
+        step = np.linalg.solve(gram.reshape(k, k) + anchor * np.eye(k), downhill)
+        now, size = value(u, energy), 1.0
+        while True:
+            if looks >= most_looks:
+                return done(False)
+            _, energy_, sums_, gram_ = look(u + size * step)
+            looks += 1
+            if value(u + size * step, energy_) <= now - 1e-4 * size * (downhill @ step) + 1e-12 * abs(now):
+                break
+            size /= 4
+        u, energy, sums, gram = u + size * step, energy_, sums_, gram_
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, growth: float = 1.0, id_col: str = "doc_id", text_col: str = "text", relative: bool = False) -> DataFrame:
-    """(id, n_tokens, p_<domain> ..., rate, copies) by document id.
+    """(id, n_tokens, p_<domain> ..., rate, copies, gap, converged) by document id.
 
+    gap: the share of all tokens by which some domain's expected total misses its target, at
+    most; converged: whether it is as small as it can be, or the steps ran out, which also warns.
     growth: expected tokens after mixing as a multiple of those before it; relative: targets
     are not shares of these but multiples of what each domain has before.
     """
@@ -129,10 +158,12 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: Mapping[str, floa
     now = members.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col(f"p_{i}")) for i in range(len(domains)))).first()
     total = float(now[0] or 0) * growth
     shares = [targets[d] * (growth * (now[1 + i] or 0.0) / max(total, 1.0) if relative else 1.0) for i, d in enumerate(domains)]
-    steps = fit_rates(members, shares, total)
-    found = members.select("key", "tokens", *(F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)), _rate(steps).alias("rate"))
+    u, gap, converged = fit_rates(members, shares, total)
+    if not converged:
+        warnings.warn(f"mixing: the rates miss the targets by {gap:.2g} of all tokens after the last look", stacklevel=2)
+    found = members.select("key", "tokens", *(F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)), _rate(u).alias("rate"))
     unit = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    return found.select(F.nullif("key", F.lit(NO_ID)).alias(id_col), F.col("tokens").alias("n_tokens"), *(f"p_{d}" for d in domains), "rate", F.floor(F.col("rate") + unit).alias("copies"))
+    return found.select(F.nullif("key", F.lit(NO_ID)).alias(id_col), F.col("tokens").alias("n_tokens"), *(f"p_{d}" for d in domains), "rate", F.floor(F.col("rate") + unit).alias("copies"), F.lit(gap).alias("gap"), F.lit(converged).alias("converged"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
