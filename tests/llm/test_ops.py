@@ -261,6 +261,103 @@ def test_warc_round_trip(spark, frame):
     assert warc.derivatives(df.limit(0)).count() == 0 and warc.plain_text("") == "" and warc.plain_text("a < b") == "a < b"
 
 
+def slow_text(page):
+    """Visible text by two state machines, one letter at a time: hidden parts go first, then tags."""
+    import html
+
+    lower, kept, i = page.lower(), [], 0
+    while i < len(page):
+        hidden = next((n for n in ("script", "style", "noscript", "template") if lower.startswith("<" + n, i) and not re.match(r"\w", lower[i + 1 + len(n) : i + 2 + len(n)])), None)
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            i = len(page) if end < 0 else end + 3
+        elif hidden:
+            end = re.compile(rf"</{hidden}\s*>").search(lower, i)
+            i = end.end() if end else len(page)
+        else:
+            kept.append(page[i])
+            i += 1
+    page, out, i = "".join(kept), [], 0
+    while i < len(page):
+        after = page[i + 1 : i + 2]
+        if page[i] == "<" and after and (after in "!/?" or after.isascii() and after.isalpha()) and page.find(">", i) > 0:
+            end = page.find(">", i)
+            name = re.match(r"/?([a-z][\w-]*)", page[i + 1 : end].lower())
+            out.append("\n" if name and name[1] in warc.BLOCKS else "")
+            i = end + 1
+        else:
+            out.append(page[i])
+            i += 1
+    lines = [" ".join(x.split()) for x in html.unescape("".join(out)).split("\n")]
+    return "\n".join(x for x in lines if x)
+
+
+def test_plain_text_against_brute_force():
+    rng = random.Random(8)
+    bits = ["<p>", "</p>", "<br/>", "<b class='x'>", "</b>", "<", ">", "a < b", "&amp;", "&lt;i&gt;", "<!-- c -->", "<!--", "<script>x<y</script>", "<STYLE>", "</style >", "word", " ", "\n", "<a href=/u>", "<pre", "<h-x>", "</", "<1>", "ü", "<noscript>"]
+    for _ in range(3000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        assert warc.plain_text(page) == slow_text(page), page
+
+
+def test_pages_of_unclosed_tags_take_linear_time():
+    import time
+
+    for bit in ("<a ", "<p ", "<a href", "<title>", "<html ", "</", "<!-", "<a x=<"):
+        page = bit * (600_000 // len(bit))
+        began = time.time()
+        warc.plain_text(page), warc.page_facts(page), warc.plain_text(page + ">"), warc.page_facts(page + ">")
+        assert time.time() - began < 20, bit
+
+
+def test_warc_files(spark, tmp_path):
+    import gzip
+
+    page = "<html lang=pt><title>Olá &amp; adeus</title><body><p>maçã</p><a href='/x'>ligação</a></body></html>"
+    utf, latin = page.encode(), page.encode("cp1252")
+    chunks = lambda b: b"".join(b"%x;e=1\r\n%b\r\n" % (len(b[i : i + 7]), b[i : i + 7]) for i in range(0, len(b), 7)) + b"0\r\n\r\n"
+    raw_deflate = zlib.compressobj(wbits=-15)
+    bodies = [
+        ("Content-Type: text/html; charset=UTF-8", utf),
+        ("Content-Type: text/html; charset=ISO-8859-1", latin),
+        ("transfer-encoding: chunked", chunks(utf)),
+        ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked", chunks(gzip.compress(utf))),
+        ("Content-Encoding: deflate", zlib.compress(utf)),
+        ("Content-Encoding: deflate", raw_deflate.compress(utf) + raw_deflate.flush()),
+        ("X: 1", b"\xff\xfe" + page.encode("utf-16-le")),
+        ("Content-Type: text/html", b"<meta charset='windows-1252'>" + latin),
+    ]
+    records = [([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:i>"), ("WARC-Date", warc.DATE)], b"software: x\r\n")]
+    for i, (head, body) in enumerate(bodies):
+        records.append(([("warc-type", "response"), ("WARC-Record-ID", f"<urn:r{i}>"), ("WARC-Date", warc.DATE), ("WARC-Target-URI", f"http://e.com/{i}")], b"HTTP/1.1 200 OK\r\n" + head.encode() + b"\r\n\r\n" + body))
+    records.append(([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:bare>")], utf))
+    records.append(([("WARC-Type", "response")], utf))
+    whole = [warc.serialize(h, b) for h, b in records]
+    (tmp_path / "a.warc").write_bytes(b"".join(whole))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in whole))
+    (tmp_path / "c.warc").write_bytes(whole[1] + whole[2][:-40])
+    (tmp_path / "d.warc").write_bytes(b"")
+    for name, times in (("a.warc", 9), ("b.warc.gz", 9), ("c.warc", 1), ("d.warc", 0)):
+        got = warc.derive_files(spark, str(tmp_path / name)).collect()
+        assert len(got) == 2 * times, name
+        for r in got:
+            (headers, body), = warc.parse(bytes(r.record))
+            assert dict(headers)["WARC-Refers-To"] == r.refers_to and r.block_digest == warc.digest(body)
+            if r.record_type == "conversion":
+                assert body.decode() == "Olá & adeus\nmaçã\nligação", (name, r.refers_to)
+            else:
+                assert "title: Olá & adeus\r\nlanguage: pt\r\noutlink: /x" in body.decode()
+    kinds = [r.headers.get("WARC-Type") or r.headers["warc-type"] for r in warc.read_records(spark.read.format("binaryFile").load(str(tmp_path / "c.warc"))).collect()]
+    assert kinds == ["response", "x-broken"]
+    # What the derivatives of pages refer to can be written, read again and derived with the same results.
+    pages = spark.createDataFrame([(1, "http://e.com/1", page), (2, None, None), (2, "http://e.com/2", "x" * 300_000)], "page_id bigint, url string, html string")
+    made = warc.response_records(pages).collect()
+    (tmp_path / "e.warc").write_bytes(b"".join(warc.serialize(list(r.headers.items()), bytes(r.block)) for r in made))
+    again = {r.record_id: r for r in warc.derive_files(spark, str(tmp_path / "e.warc")).collect()}
+    first = warc.derivatives(pages).collect()
+    assert len(again) == len(first) == 6 and all(again[r.record_id].record == r.record and r.refers_to in {x.headers["WARC-Record-ID"] for x in made} for r in first)
+
+
 # 5
 
 
@@ -306,6 +403,45 @@ def test_network_gradients(monkeypatch):
         assert g[i] == pytest.approx((run(up) - run(down)) / 2e-5, rel=1e-4, abs=1e-7), k
 
 
+def test_logits_against_plain_loops():
+    """Every window's logit, letter by letter and word by word."""
+    rng = random.Random(12)
+    texts = [words(rng, 45), "short one", "ünï " + "y" * 30]
+    win = toxic_net.Windows(*common.text_bytes(pa.array(texts), True))
+    net = toxic_net.new_net(3, np.sort(win.keys[:9]))
+    net["sure_words"] = (np.sort(win.keys[5:8]), np.array([1.0, 2.0, 0.5], np.float32))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def layer(name, rows):
+        h, out = np.zeros(8), []
+        for x in rows:
+            a, u = x @ net[name + "W"] + net[name + "b"], h @ net[name + "U"]
+            z, r = sigmoid(a[:8] + u[:8]), sigmoid(a[8:16] + u[8:16])
+            new = np.tanh(a[16:] + r * (u[16:] + net[name + "c"]))
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return out
+
+    def word(k):
+        if k == len(win.keys):
+            return np.zeros(26)
+        letters = [net["ce"][b] for b in win.raw[win.starts[k] : win.ends[k]]]
+        place = list(net["words"]).index(win.keys[k]) + 1 if win.keys[k] in net["words"] else 0
+        sure = dict(zip(*net["sure_words"], strict=True)).get(win.keys[k], 0.0)
+        return np.concatenate([net["we"][place], layer("cf", letters)[-1], layer("cb", letters[::-1])[-1], [sure, 0.0]])
+
+    got = toxic_net.logits(net, win)
+    for row, inside, logit in zip(win.words, win.inside, got, strict=True):
+        xs = [word(k) for k in row]
+        hs = [np.concatenate(p) for p in zip(layer("wf", xs), layer("wb", xs[::-1])[::-1], strict=True)]
+        e = np.array([np.exp(np.tanh(h @ net["aW"]) @ net["av"]) for h in hs]) * inside
+        assert logit == pytest.approx(float((e / e.sum()) @ np.array(hs) @ net["o"] + net["ob"][0]), abs=1e-3)
+
+
+def test_windows_overlap_by_half():
+    assert 2 * toxic_net.STRIDE <= toxic_net.WINDOW
+
+
 def test_windows_cover_every_word():
     text = " ".join(f"w{i}" for i in range(101)) + " " + "y" * 60
     win = toxic_net.Windows(*common.text_bytes(pa.array([text, "", None, "one"]), True))
@@ -366,10 +502,52 @@ def test_rates_match_a_plain_solver(spark):
     t = rng.integers(1, 100, 200)
     df = spark.createDataFrame([(int(i), int(n), float(a), float(b)) for i, (n, (a, b)) in enumerate(zip(t, p, strict=True))], "key bigint, tokens bigint, p_0 double, p_1 double")
     goal = np.array([0.95, 0.05]) * t.sum()
-    r, steps = np.ones(200), mixing.fit_rates(df, [0.95, 0.05])
-    for d in steps:
-        r = np.maximum(0, r - p @ np.array(d))
-    assert np.abs((r * t) @ p - goal).max() < 1e-4 * t.sum() and (r == 0).any()
+    made = mixing.fit_rates(df, [0.95, 0.05])
+    r = np.maximum(0, 1 - p @ np.array(made.u))
+    assert made.converged and np.abs((r * t) @ p - goal).max() < 1e-4 * t.sum() and (r == 0).any()
+    short = mixing.fit_rates(df, [0.95, 0.05], most_looks=2)
+    assert not short.converged and short.gap > made.gap
+
+
+def test_targets_out_of_reach_leave_the_least_gap(spark):
+    """Against a plain projected gradient with small steps: no document leans to the second domain by more than a tenth."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([9.0, 0.4], 60)
+    p[:, 1] = np.minimum(p[:, 1], 0.1)
+    p[:, 0] = 1 - p[:, 1]
+    t = rng.integers(1, 50, 60)
+    df = spark.createDataFrame([(int(i), int(n), float(a), float(b)) for i, (n, (a, b)) in enumerate(zip(t, p, strict=True))], "key bigint, tokens bigint, p_0 double, p_1 double")
+    goal, x = np.array([0.2, 0.8]) * t.sum(), t[:, None] * p
+    slow, rate = np.ones(60), 1 / np.linalg.norm(x.T @ x, 2)
+    for _ in range(200_000):
+        slow = np.maximum(0, slow - rate * (x @ (slow @ x - goal)))
+    made = mixing.fit_rates(df, [0.2, 0.8])
+    r = np.maximum(0, 1 - p @ np.array(made.u))
+    assert made.converged and np.linalg.norm(r @ x - goal) <= (1 + 1e-6) * np.linalg.norm(slow @ x - goal)
+
+
+def test_posteriors_against_brute_force(spark, frame):
+    import xxhash
+
+    docs = corpus(21)
+    labelled = spark.createDataFrame([(d, ["high", "low", "toxic"][d % 3]) for d in range(0, 40)] + [(3, "low")], "doc_id bigint, domain string")
+    names = ["high", "low", "toxic"]
+    bucket = lambda w: (xxhash.xxh64_intdigest(w.encode(), seed=42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    of = lambda t: [bucket(w) % mixing.BUCKETS for w in SPLIT.findall((t or "").lower())]
+    counts, prior = np.full((mixing.BUCKETS, 3), 0.5), np.ones(3)
+    for d, t in docs[:40]:
+        k = names.index(min([names[d % 3], *(["low"] if d == 3 else [])]))
+        prior[k] += 1
+        np.add.at(counts, (of(t), k), 1)
+    logs = np.log(counts / counts.sum(0))
+    logs -= logs.mean(1, keepdims=True)
+    got = {r.key: r for r in mixing.posteriors(frame(docs), labelled, names).collect()}
+    assert len(got) == len(docs)
+    for d, t in docs:
+        found = of(t)
+        x = np.log(prior / prior.sum()) + logs[found].sum(0) * min(mixing.EVIDENCE, len(found)) / max(len(found), 1)
+        e = np.exp(x - x.max())
+        assert [got[d].tokens, *(got[d][f"p_{i}"] for i in range(3))] == pytest.approx([len(found), *(e / e.sum())], abs=1e-9)
 
 
 def test_mixing_odd(spark, frame):
@@ -392,6 +570,21 @@ def test_encoder_gives_the_librarys_ids():
             assert own.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_files_that_merge_in_another_order_go_to_the_library(tmp_path):
+    import json
+
+    spec = json.load(open(tokens.vocabulary("byte_bpe_50k.json"), encoding="utf-8"))
+    assert tokens.by_rank(spec)
+    spec["model"]["merges"] = [spec["model"]["merges"][1], spec["model"]["merges"][0], *spec["model"]["merges"][2:]]
+    assert not tokens.by_rank(spec)
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    own = tokens.Encoder(str(path))
+    assert own.fast is None and list(own.ids("the cat")) == own.whole.encode("the cat", add_special_tokens=False).ids
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"})):
+        assert not tokens.by_rank(json.load(open(tokens.vocabulary("byte_bpe_50k.json"), encoding="utf-8")) | {key: value})
+
+
 def test_packing(spark, frame):
     docs = corpus(8, 200)
     path = tokens.vocabulary("byte_bpe_50k.json")
