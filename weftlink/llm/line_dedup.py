@@ -4,17 +4,17 @@ A line is the set of its lower-cased words. A line goes if a line before it, in
 (doc_id, line number), has Jaccard similarity of at least num / den to it; the earlier
 line counts whether or not it goes itself. Lines without words stay.
 
-1. Words become longs whose numeric order is rarity: a class, from the count of the most
-   frequent word of the hash bucket in the whole corpus, above the hash. Any order gives exact
-   results; rarity makes groups small. The table of classes has a fixed size.
+1. Words become longs whose numeric order is rarity: a class, from how often the words of the
+   hash bucket occur in the whole corpus, above the hash. Any order gives exact results;
+   rarity makes groups small. The table of classes has a fixed size.
 2. Equal sets are one line from then on, the first of them; the others go.
 3. Prefix filter: lines of enough overlap share one of their first n - ceil(n num/den) + 1
    words. Groups of lines with one such word are looked at by three filters: length,
    position of the word, and a 128-bit parity map whose differing bits bound the overlap.
-4. In each group a line first meets only the group's first line and the one before
-   it; its most likely partner is verified on the full sets. In a large group of copies
-   that settles nearly all lines at a cost linear in the group. Lines still open, in groups of
-   more than three, then meet every earlier line of their groups, and all that pass are verified.
+4. In the groups of its rarest words a line first meets only the group's first line and the
+   one before it; its most likely partner is verified on the full sets. In a large group of
+   copies that settles nearly all lines at a cost linear in the group. Lines still open
+   then meet every earlier line of all their groups, dealt by length, and all that pass are verified.
 
 Sets are compared by 56-bit word hashes. Defined results: null and empty texts have no
 lines with words; repeated rows are lines on their own, ordered arbitrarily among equal
@@ -24,8 +24,6 @@ comes first; a document whose lines all go keeps its row with an empty text.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,12 +31,14 @@ from pyspark.sql import functions as F
 
 from weftlink.llm.common import WORD_BREAK, cut, discard, release, stored, table
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 _HASH = (1 << 56) - 1
 #: Parity maps that judge candidate pairs, beside the one that goes with the postings.
 MAPS = 4
+#: Rarest words of a line whose groups get the first look.
+FIRST = 4
 #: Parts of the tokens that are worked on one after the other: so much less shuffled data is on disk at once.
-PASSES = 4
+PASSES = 3
 _LOW = (1 << 32) - 1
 NO_ID = -(1 << 63)
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -60,30 +60,41 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.where(F.col("line").rlike(HAS_WORD)).select("doc", F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("copy")).alias("at"), "line")
 
 
+def _words(text, breaks: str = "\t\x0b\f\r"):
+    """Lower-cased words of a text, with empty ones where white space meets: split at blanks alone where there is no other white space."""
+    other = reduce(lambda x, y: x | y, (F.contains(text, F.lit(c)) for c in breaks))
+    return F.when(other, F.split(F.lower(text), WORD_BREAK)).otherwise(F.split(F.lower(text), " "))
+
+
+def _hash(word):
+    return F.xxhash64(word).bitwiseAND(F.lit(_HASH))
+
+
 def _hashes(line):
     """56-bit hashes of the distinct words of a line that has some."""
-    words = F.split(F.btrim(F.lower(line), F.lit(" \t\n\x0b\f\r")), WORD_BREAK)
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(_HASH))))
+    return F.array_distinct(F.array_remove(F.transform(_words(line), _hash), _hash(F.lit(""))))
 
 
-def frequency_classes(docs: DataFrame, text_col: str) -> list[int]:
-    """Class by hash bucket: twice the binary logarithm of the count of the bucket's most frequent word.
+def frequency_classes(docs: DataFrame, text_col: str) -> str:
+    """Class by hash bucket, as a JSON list: twice the binary logarithm of how often the bucket's words occur.
 
-    ``BUCKETS`` rows reach the driver, whatever the corpus; all its words are counted.
+    The list has ``BUCKETS`` numbers, whatever the corpus; all its words are counted.
     """
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), WORD_BREAK)).alias("word"))
-    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(_HASH)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    most = counts.groupBy(F.col("code").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.max("n").alias("n"))
-    out = [0] * BUCKETS
-    for row in most.select("bucket", F.least(F.lit(127), F.floor(F.log2("n") * 2)).alias("c")).collect():
-        out[row["bucket"]] = row["c"]
-    return out
-
-
-def _codes(line, classes: list[int]):
+    text = F.replace(F.col(text_col), F.lit("\n"), F.lit(" "))
+    words = docs.select(text.alias("text")).select(F.explode(_words(F.col("text"))).alias("word")).where("word <> ''")
+    found = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(1).cast("long").alias("n"))
+    most = every.union(found).groupBy("bucket").agg(F.max("n").alias("n"))
+    # A fixed number of longs, in order of the bucket above the class, becomes one text.
+    marked = most.select(F.shiftleft("bucket", 7).bitwiseOR(F.least(F.lit(127), F.floor(F.log2("n") * 2))).alias("c"))
+    listed = marked.agg(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda c: c.bitwiseAND(F.lit(127)).cast("string")), ",").alias("c"))
+    return f"[{listed.first()['c']}]"
+
+
+def _codes(line, classes: str):
     """The line's words as longs in order of rarity: class above the hash."""
-    lookup = F.from_json(F.lit(json.dumps(classes, separators=(",", ":"))), "array<bigint>")
-    return F.sort_array(F.transform(_hashes(line), lambda c: c.bitwiseOR(F.shiftleft(F.get(lookup, c.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56))))
+    lookup = F.from_json(F.lit(classes), "array<bigint>")
+    return F.sort_array(F.transform(_hashes(line), lambda c: c.bitwiseOR(F.shiftleft(F.coalesce(F.get(lookup, c.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)), 56))))
 
 
 def _sketch(codes: str, k: int) -> F.Column:
@@ -96,62 +107,55 @@ def _half_map(codes: str, half: int) -> F.Column:
     return F.expr(f"aggregate({codes}, 0L, (m, c) -> if((shiftrightunsigned(c, 6) & 1) = {half}, m ^ shiftleft(1L, int(c & 63)), m))")
 
 
-def _apart(x: str, y: str):
+def _apart(x: str, y: str, dot: str = "."):
     """Bits in which the parity maps of two postings differ."""
-    return sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in ("map", "map2")), F.lit(0))
+    return sum((F.bit_count(F.col(f"{x}{dot}{m}").bitwiseXOR(F.col(f"{y}{dot}{m}"))) for m in ("map", "map2")), F.lit(0))
 
 
-def _may_match(x: str, y: str, num: int, den: int):
-    """Length, position and parity filters on two postings (structs)."""
-    (nx, px), (ny, py) = ((F.shiftright(F.col(f"{s}.place"), 32), F.col(f"{s}.place").bitwiseAND(F.lit(_LOW))) for s in (x, y))
+def _may_match(x: str, y: str, num: int, den: int, dot: str = "."):
+    """Length, position and parity filters on two postings."""
+    (nx, px), (ny, py) = ((F.shiftright(F.col(f"{s}{dot}place"), 32), F.col(f"{s}{dot}place").bitwiseAND(F.lit(_LOW))) for s in (x, y))
     total = nx + ny
     fits = den * F.least(nx, ny) >= num * F.greatest(nx, ny)
     # The pair's own overlap bound: its first shared word is early enough in both, and enough words can follow it.
     least = F.ceil(total * num / (num + den))
     by_place = (px <= nx - least) & (py <= ny - least) & (F.least(px, py) + F.least(nx - px, ny - py) >= least)
-    return fits & by_place & ((total - _apart(x, y)) * (num + den) >= 2 * num * total)
+    return fits & by_place & ((total - _apart(x, y, dot)) * (num + den) >= 2 * num * total)
 
 
-def _asked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, line) of the lines in pairs (x, y), which are already computed."""
-    x, y = (pairs.select(f"{s}.doc", f"{s}.at") for s in "xy")
-    asked = cut(x.union(y).distinct())
-    few = asked.count() <= BROADCAST_LINES
-    return lines.join(F.broadcast(asked) if few else asked, ["doc", "at"], "left_semi").select(F.struct("doc", "at").alias("id"), "line")
+def _sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, set, map1, ...) of the lines in pairs (x, y), which are already computed: their words, and parity maps of these.
 
+    It is written first: else the joins' not-null filters would move below the choice of
+    lines and make sets for every line of the corpus.
+    """
+    asked = cut(pairs.select(F.col("x.doc").alias("doc"), F.col("x.at").alias("at")).union(pairs.select("y.doc", "y.at")).distinct())
+    few = asked.count() <= BROADCAST_LINES
+    found = lines.join(F.broadcast(asked) if few else asked, ["doc", "at"], "left_semi").select(F.struct("doc", "at").alias("id"), _hashes(F.col("line")).alias("set"))
+    return stored(found.select("id", "set", *(_sketch("set", k).alias(f"map{k}") for k in range(1, MAPS + 1))), "line-found")
 
-def _judged(pairs: DataFrame, found: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``judge`` of the pairs with what was found for either line, as x_<name> and y_<name>; computed.
 
-    What was found is written first: else the join's not-null filters would move below the
-    choice of lines and make it for every line of the corpus.
-    """
-    found = stored(found, "line-found")
+def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     for s in "xy":
-        pairs = pairs.join(found.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in found.columns if c != "id")), s)
-    out = cut(judge(pairs))
-    discard(found)
-    return out
+        pairs = pairs.join(sets.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns)), s)
+    return pairs
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The later lines (doc, at) of those pairs that reach the threshold on the full sets."""
-    # Sets are made once for each line, not for each pair.
     common = F.size(F.array_intersect("x_set", "y_set"))
     enough = common * den >= num * (F.size("x_set") + F.size("y_set") - common)
-    sets = _asked(pairs, lines).select("id", _hashes(F.col("line")).alias("set"))
-    return _judged(pairs, sets, lambda both: both.where(enough).select("x.doc", "x.at").distinct())
+    return cut(_with_sets(pairs, sets, "set").where(enough).select("x.doc", "x.at").distinct())
 
 
-def _close(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
+def _close(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(x, y, apart): the pairs that none of the further parity maps rules out, with the bits in which the maps differ."""
     maps = [f"map{k}" for k in range(1, MAPS + 1)]
-    sets = _asked(pairs, lines).select("id", _hashes(F.col("line")).alias("set"))
-    found = sets.select("id", F.size("set").alias("n"), *(_sketch("set", k).alias(m) for k, m in enumerate(maps, 1)))
+    both = _with_sets(pairs, sets.withColumn("n", F.size("set")), "n", *maps)
     bits = [F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}"))) for m in maps]
     total = F.col("x_n") + F.col("y_n")
     fits = (total - F.greatest(*bits)) * (num + den) >= 2 * num * total
-    return _judged(pairs, found, lambda both: both.where(fits).select("x", "y", sum(bits[1:], bits[0]).alias("apart")))
+    return cut(both.where(fits).select("x", "y", sum(bits[1:], bits[0]).alias("apart")))
 
 
 def _each(spark: SparkSession):
@@ -161,28 +165,44 @@ def _each(spark: SparkSession):
         release(spark)
 
 
-def _part(k: int):
-    return F.pmod(F.col("token"), F.lit(PASSES)) == k
+FIELDS = ("doc", "at", "place", "map", "map2")
 
 
-def _groups(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """(token, x, near, size): postings of groups of more than three, and what a first look at a group finds."""
+def _postings(reps: DataFrame, most: int | None = None, *keep: str) -> DataFrame:
+    """(token, doc, at, place, map, map2, the columns ``keep``) of the tokens at the first ``most`` places of the lines' prefixes."""
     # Size and position share one long.
-    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    postings = postings.select("token", F.struct("doc", "at", place.alias("place"), "map", "map2").alias("x"))
-    group = Window.partitionBy("token")
-    order = group.orderBy("x.doc", "x.at")
-    met = postings.select("token", "x", F.first("x").over(order).alias("head"), F.lag("x").over(order).alias("before"), F.count(F.lit(1)).over(group).alias("size"))
+    prefix = F.col("prefix") if most is None else F.slice("prefix", 1, most)
+    found = reps.select(F.posexplode(prefix).alias("pos", "token"), "doc", "at", "n", "map", "map2", *keep)
+    return found.select("token", "doc", "at", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place"), "map", "map2", *keep)
+
+
+def _near(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y, apart): of each line, the first of its groups and the ones before it there, where they pass the filters."""
+    group = Window.partitionBy("token").orderBy("doc", "at")
+    met = postings.select(F.struct(*FIELDS).alias("x"), F.first(F.struct(*FIELDS)).over(group).alias("head"), F.lag(F.struct(*FIELDS)).over(group).alias("before"))
     seen = (F.when(F.col("before").isNotNull() & _may_match("x", y, num, den), F.struct(_apart("x", y).alias("apart"), F.struct(f"{y}.doc", f"{y}.at").alias("y"))) for y in ("head", "before"))
-    near = F.array_distinct(F.filter(F.array(*seen), lambda y: y.isNotNull()))
-    return met.where("size > 1").select("token", "x", near.alias("near"), "size").where("size > 3 or size(near) > 0")
+    near = met.select("x", F.array_distinct(F.filter(F.array(*seen), lambda y: y.isNotNull())).alias("near")).where("size(near) > 0")
+    return near.select(F.struct("x.doc", "x.at").alias("x"), F.explode("near").alias("near")).select("x", "near.y", "near.apart")
 
 
-def _in_groups(still: DataFrame, rest: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (x, y) of open lines with earlier lines of their groups that pass the filters."""
-    earlier = F.struct("y.doc", "y.at") < F.struct("x.doc", "x.at")
-    pairs = still.select("token", "x").join(rest.select("token", F.col("x").alias("y")), "token").where(earlier & _may_match("x", "y", num, den))
-    return pairs.select(F.struct("x.doc", "x.at").alias("x"), F.struct("y.doc", "y.at").alias("y")).distinct()
+def _in_groups(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (x, y) of open lines with earlier lines of their groups that pass the filters.
+
+    A group is dealt by classes of length: the shorter of two lines goes to all classes that a longer one may be
+    in, mostly its own alone, and only with its tokens that come early enough.
+    """
+    n, pos = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(_LOW))
+    size = lambda n: F.floor(F.log2(n.cast("double"))).cast("int")
+    rows = postings.select("token", size(n).alias("len"), *FIELDS, "open")
+    side = lambda df, s: df.select("token", "len", *(F.col(c).alias(f"{s}_{c}") for c in (*FIELDS, "open")))
+    early = rows.where(pos <= n - F.ceil(2 * n * num / (num + den)))
+    low = side(early.withColumn("len", F.explode(F.sequence(F.col("len"), size(F.floor(n * den / num))))), "s")
+    both = low.join(side(rows, "l"), ["token", "len"])
+    short, long, order = F.shiftright("s_place", 32), F.shiftright("l_place", 32), (F.col("s_doc") < F.col("l_doc")) | ((F.col("s_doc") == F.col("l_doc")) & (F.col("s_at") < F.col("l_at")))
+    wanted = ((short < long) | ((short == long) & order)) & F.when(order, F.col("l_open")).otherwise(F.col("s_open"))
+    ident = lambda s: F.struct(F.col(f"{s}_doc").alias("doc"), F.col(f"{s}_at").alias("at"))
+    pairs = both.where(wanted & _may_match("s", "l", num, den, "_"))
+    return pairs.select(F.when(order, ident("l")).otherwise(ident("s")).alias("x"), F.when(order, ident("s")).otherwise(ident("l")).alias("y")).distinct()
 
 
 def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,34 +213,35 @@ def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     codes = lines.select("doc", "at", _codes(F.col("line"), classes).alias("codes"))
     n = F.size("codes")
     prefix = F.slice("codes", 1, (n - F.ceil(n * num / den) + 1).cast("int"))
-    marked = codes.select(F.xxhash64("codes").alias("d1"), F.xxhash64("codes", F.lit(1)).alias("d2"), F.struct("doc", "at", n.alias("n"), _half_map("codes", 0).alias("map"), _half_map("codes", 1).alias("map2"), prefix.alias("prefix")).alias("line"))
+    # Two hashes of different inputs: equal sets are told by 128 bits.
+    own = F.struct("doc", "at", n.alias("n"), _half_map("codes", 0).alias("map"), _half_map("codes", 1).alias("map2"), prefix.alias("prefix"))
+    marked = codes.select(F.xxhash64("codes").alias("d1"), F.xxhash64(F.lit(1), "codes").alias("d2"), own.alias("line"))
     # The first line of each set stands for it.
     reps = stored(marked.groupBy("d1", "d2").agg(F.min("line").alias("line")).select("line.*"), "line-sets")
     release(spark)
-    groups = [stored(_groups(reps.select(F.posexplode("prefix").alias("pos", "token"), "doc", "at", "n", "map", "map2").where(_part(k)), num, den), "line-groups") for k in _each(spark)]
-    met = reduce(DataFrame.union, groups)
-    near = met.select(F.col("x.doc").alias("doc"), F.col("x.at").alias("at"), F.explode("near").alias("near"))
-    likely = near.groupBy("doc", "at").agg(F.min("near").alias("best"))
-    likely = cut(likely.select(F.struct("doc", "at").alias("x"), F.col("best.y").alias("y")))
-    gone = _verified(likely, lines, num, den)
+    near = cut(_near(_postings(reps, FIRST), num, den))
     release(spark)
+    likely = cut(near.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best")).select("x", "best.y"))
+    sets = _sets(likely, lines)
+    gone = _verified(likely, sets, num, den)
+    discard(sets)
     few = gone.count() <= BROADCAST_LINES
     done = F.broadcast(gone) if few else gone
-    rest = met.where("size > 3").select("token", "x", F.col("x.doc").alias("doc"), F.col("x.at").alias("at"))
-    found = [cut(_in_groups(rest.join(done, ["doc", "at"], "left_anti").where(_part(k)), rest.where(_part(k)), num, den)) for k in _each(spark)]
-    pairs = reduce(DataFrame.union, found)
-    pairs = pairs.union(near.join(done, ["doc", "at"], "left_anti").select(F.struct("doc", "at").alias("x"), F.col("near.y").alias("y")))
-    pairs = cut(pairs.join(likely, ["x", "y"], "left_anti").distinct())
-    discard(*groups)
-    pairs = _close(pairs, lines, num, den)
+    part = lambda k: F.pmod(F.col("token"), F.lit(PASSES)) == k
+    marked = reps.join(done.withColumn("gone", F.lit(True)), ["doc", "at"], "left").withColumn("open", F.col("gone").isNull())
+    found = [cut(_in_groups(_postings(marked, None, "open").where(part(k)), num, den)) for k in _each(spark)]
+    pairs = cut(reduce(DataFrame.union, found).join(likely, ["x", "y"], "left_anti").distinct())
+    sets = _sets(pairs, lines)
+    pairs = _close(pairs, sets, num, den)
     release(spark)
     # The closest partner of a line settles it mostly; its other pairs are verified only if it does not.
     closest = cut(pairs.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best")).select("x", "best.y"))
     for tried in (True, False):
         now = closest if tried else cut(pairs.select("x", "y", "x.doc", "x.at").join(gone, ["doc", "at"], "left_anti").select("x", "y").join(closest, ["x", "y"], "left_anti"))
         if not now.isEmpty():
-            gone = cut(gone.union(_verified(now, lines, num, den)))
-        release(spark)
+            gone = cut(gone.union(_verified(now, sets, num, den)))
+    discard(sets)
+    release(spark)
     stay = reps.select("doc", "at").join(gone, ["doc", "at"], "left_anti")
     stay = stay.groupBy("doc", F.col("at").bitwiseAND(F.lit(_LOW)).alias("copy")).agg(F.sort_array(F.collect_list(F.shiftright("at", 32).cast("int"))).alias("lines"))
     stay = stored(stay, "line-stay")
