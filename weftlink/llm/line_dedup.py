@@ -11,10 +11,10 @@ line counts whether or not it goes itself. Lines without words stay.
 3. Prefix filter: lines of enough overlap share one of their first n - ceil(n num/den) + 1
    words. Groups of lines with one such word are looked at by three filters: length,
    position of the word, and a 128-bit parity map whose differing bits bound the overlap.
-4. In the groups of its rarest words a line first meets only the group's first line and the
-   one before it; its most likely partner is verified on the full sets. In a large group of
-   copies that settles nearly all lines at a cost linear in the group. Lines still open
-   then meet every earlier line of all their groups, dealt by length, and all that pass are verified.
+4. In groups that may be large, by the class of their word, a line first meets only the group's
+   first line and the ``LAGS`` ones before it; its most likely partner is verified on the full sets. In a
+   large group of copies that settles nearly all lines at a cost linear in the group. Lines still
+   open then meet every earlier line of all their groups, dealt by length, and all that pass are verified.
 
 Sets are compared by 56-bit word hashes. Defined results: null and empty texts have no
 lines with words; repeated rows are lines on their own, ordered arbitrarily among equal
@@ -35,8 +35,10 @@ BUCKETS = 1 << 18
 _HASH = (1 << 56) - 1
 #: Parity maps that judge candidate pairs, beside the one that goes with the postings.
 MAPS = 4
-#: Rarest words of a line whose groups get the first look.
-FIRST = 4
+#: Class from which on a word's group may be large (over 256 lines) and gets a first look.
+OFTEN = 16
+#: Lines before it that a line meets at the first look.
+LAGS = 1
 #: Parts of the tokens that are worked on one after the other: so much less shuffled data is on disk at once.
 PASSES = 3
 _LOW = (1 << 32) - 1
@@ -168,19 +170,19 @@ def _each(spark: SparkSession):
 FIELDS = ("doc", "at", "place", "map", "map2")
 
 
-def _postings(reps: DataFrame, most: int | None = None, *keep: str) -> DataFrame:
-    """(token, doc, at, place, map, map2, the columns ``keep``) of the tokens at the first ``most`` places of the lines' prefixes."""
+def _postings(reps: DataFrame, *keep: str) -> DataFrame:
+    """(token, doc, at, place, map, map2, the columns ``keep``) of the lines' prefixes."""
     # Size and position share one long.
-    prefix = F.col("prefix") if most is None else F.slice("prefix", 1, most)
-    found = reps.select(F.posexplode(prefix).alias("pos", "token"), "doc", "at", "n", "map", "map2", *keep)
+    found = reps.select(F.posexplode("prefix").alias("pos", "token"), "doc", "at", "n", "map", "map2", *keep)
     return found.select("token", "doc", "at", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place"), "map", "map2", *keep)
 
 
 def _near(postings: DataFrame, num: int, den: int) -> DataFrame:
     """(x, y, apart): of each line, the first of its groups and the ones before it there, where they pass the filters."""
     group = Window.partitionBy("token").orderBy("doc", "at")
-    met = postings.select(F.struct(*FIELDS).alias("x"), F.first(F.struct(*FIELDS)).over(group).alias("head"), F.lag(F.struct(*FIELDS)).over(group).alias("before"))
-    seen = (F.when(F.col("before").isNotNull() & _may_match("x", y, num, den), F.struct(_apart("x", y).alias("apart"), F.struct(f"{y}.doc", f"{y}.at").alias("y"))) for y in ("head", "before"))
+    row, others = F.struct(*FIELDS), [f"before{k}" for k in range(1, LAGS + 1)]
+    met = postings.select(row.alias("x"), F.first(row).over(group).alias("head"), *(F.lag(row, k).over(group).alias(f"before{k}") for k in range(1, LAGS + 1))).where("before1 is not null")
+    seen = (F.when(F.col(y).isNotNull() & _may_match("x", y, num, den), F.struct(_apart("x", y).alias("apart"), F.struct(f"{y}.doc", f"{y}.at").alias("y"))) for y in ("head", *others))
     near = met.select("x", F.array_distinct(F.filter(F.array(*seen), lambda y: y.isNotNull())).alias("near")).where("size(near) > 0")
     return near.select(F.struct("x.doc", "x.at").alias("x"), F.explode("near").alias("near")).select("x", "near.y", "near.apart")
 
@@ -219,17 +221,17 @@ def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     # The first line of each set stands for it.
     reps = stored(marked.groupBy("d1", "d2").agg(F.min("line").alias("line")).select("line.*"), "line-sets")
     release(spark)
-    near = cut(_near(_postings(reps, FIRST), num, den))
-    release(spark)
+    part = lambda k: F.pmod(F.col("token"), F.lit(PASSES)) == k
+    often = F.shiftright("token", 56) >= OFTEN
+    near = reduce(DataFrame.union, [cut(_near(_postings(reps).where(often & part(k)), num, den)) for k in _each(spark)])
     likely = cut(near.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best")).select("x", "best.y"))
     sets = _sets(likely, lines)
     gone = _verified(likely, sets, num, den)
     discard(sets)
     few = gone.count() <= BROADCAST_LINES
     done = F.broadcast(gone) if few else gone
-    part = lambda k: F.pmod(F.col("token"), F.lit(PASSES)) == k
     marked = reps.join(done.withColumn("gone", F.lit(True)), ["doc", "at"], "left").withColumn("open", F.col("gone").isNull())
-    found = [cut(_in_groups(_postings(marked, None, "open").where(part(k)), num, den)) for k in _each(spark)]
+    found = [cut(_in_groups(_postings(marked, "open").where(part(k)), num, den)) for k in _each(spark)]
     pairs = cut(reduce(DataFrame.union, found).join(likely, ["x", "y"], "left_anti").distinct())
     sets = _sets(pairs, lines)
     pairs = _close(pairs, sets, num, den)
