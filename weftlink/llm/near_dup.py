@@ -39,7 +39,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,8 +186,10 @@ def _neighbours(classes: DataFrame, partitions: int, reach: int, num: int, den:
                 here = own[max(held, k) :]
                 here = here[prefix[here] >= shallow]
                 found.append(pairs(tree, sig, rep, n, here, here - k))
-            out = pd.DataFrame({c: np.concatenate([f[k] for f in found]) for k, c in enumerate(("a", "b", "est"))}).drop_duplicates(["a", "b"])
-            yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64()), pa.array(out["est"], pa.float64())], names=["a", "b", "est"])
+            a, b, est = (np.concatenate([f[k] for f in found]) for k in range(3))
+            order = np.lexsort((b, a))
+            order = order[np.concatenate([np.ones(min(1, len(a)), bool), (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])]
+            yield pa.RecordBatch.from_arrays([pa.array(a[order], pa.int64()), pa.array(b[order], pa.int64()), pa.array(est[order], pa.float64())], names=["a", "b", "est"])
             keep = slice(max(0, size - reach), size)
             tail = [*(c[keep] for c in (tree, rep, n)), sig[keep]]
 
