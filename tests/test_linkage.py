@@ -259,3 +259,25 @@ def test_samples(spark):
     assert a == b and len(a) == 7 and profile.sample_rows(df, 0, "k").count() == 50
     truth = spark.createDataFrame([("S1-1", "S2-1,S2-2"), ("S1-2", "")], LISTS)
     assert profile.sample_links(truth).count() == 1
+
+
+def test_ranking_where_keys_meet_is_that_of_all_pairs(spark, monkeypatch):
+    """Scores, ties and caps as the plain join has them, also of keys dealt over tasks, in few or many chunks; pairs with their texts are never shuffled."""
+    from weftlink.operators import search
+
+    rng = random.Random(5)
+    word = lambda: rng.choice(["zebra", "acme", "tech", "rue", "été", "lyon", "12", "44", "x", ""])
+    text = lambda n: " ".join(word() for _ in range(rng.randrange(0, n))).strip()
+    make = lambda s, n: side(spark, [(f"S{s}-{i:03}", text(20 if i % 9 else 60), text(8 if i % 7 else 60), rng.choice(["lyon", None]), rng.choice(["69001", None]), rng.choice(["fr", "us", None])) for i in range(n)] + [(None, "zebra", "", None, None, "fr")])
+    a, t = make(1, 60), candidates.target_space((make(2, 60), 2), (make(3, 60), 3))
+    for settings in (Settings(max_candidates=3, min_score=0.0), Settings(cap=12, cap_take=4, min_score=60.0)):
+        want = candidates.best(candidates.scored(candidates.shared_keys(a, t, settings), a, t, settings), settings)
+        columns = ("s1_entity_id", "rank", "target_entity_id", "source_id", "pos", "blocking_score")
+        want = sorted(want.select(*columns).collect())
+        for deal, together in ((2, 5),):
+            monkeypatch.setattr(search, "DEAL", deal)
+            monkeypatch.setattr(search, "TOGETHER", together)
+            assert sorted(search.ranked(a, t, settings).select(*columns).collect()) == want and want
+    # Both sides' texts are on one row after the ranking alone.
+    plan = candidates.candidate_pairs(a, t)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.index("row_number") < plan.index("MapInArrow")
