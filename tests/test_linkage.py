@@ -281,3 +281,16 @@ def test_ranking_where_keys_meet_is_that_of_all_pairs(spark, monkeypatch):
     # Both sides' texts are on one row after the ranking alone.
     plan = candidates.candidate_pairs(a, t)._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" not in plan and plan.index("row_number") < plan.index("MapInArrow")
+
+
+def test_measures_of_prepared_texts_match():
+    from weftlink.functions import bitpairs
+
+    rng = random.Random(3)
+    for most, letters in ((14, "abc d"), (70, "abcdé \U0001f600"), (150, "abcdefgh   "), (64, "ab c")):
+        a, b = ([*("".join(rng.choice(letters) for _ in range(rng.randrange(0, most))) for _ in range(40)), "", "a b"] for _ in range(2))
+        x, y = (i % len(a) for i in (sim.np.arange(len(a) ** 2), sim.np.arange(len(a) ** 2) // len(a)))
+        made = bitpairs.Pairs(*bitpairs.prepare(a, b), x, y)
+        for name in ("ratio", "token_sort_ratio", "token_set_ratio"):
+            want = sim.MEASURES[name]([a[i] for i in x], [b[j] for j in y])
+            assert (getattr(made, name)() == want).all(), (name, most)
