@@ -294,3 +294,53 @@ def test_measures_of_prepared_texts_match():
         for name in ("ratio", "token_sort_ratio", "token_set_ratio"):
             want = sim.MEASURES[name]([a[i] for i in x], [b[j] for j in y])
             assert (getattr(made, name)() == want).all(), (name, most)
+
+
+def test_best_windows_match_brute_force():
+    """Also of equal lengths, where windows of either text count, and of texts too long for small numbers."""
+    from weftlink.functions import bitpairs, windows
+
+    rng = random.Random(4)
+    for most, letters, many in ((7, "ab", 40), (14, "abc d", 25), (70, "abcdé \U0001f600", 8), (330, "abcd  ", 3)):
+        a, b = ([*("".join(rng.choice(letters) for _ in range(rng.randrange(0, most))) for _ in range(many)), "", "abab"] for _ in range(2))
+        x, y = sim.np.arange(len(a) ** 2) % len(a), sim.np.arange(len(a) ** 2) // len(a)
+        left, right, _ = bitpairs.prepare(a, b)
+        best, common = windows.best_windows(left.forms["plain"], left.length, right.forms["plain"], right.length, x, y)
+        texts = [a[i] for i in x], [b[j] for j in y]
+        assert (best == sim.partial_ratios(*texts)).all() and (common == sim.common_lengths(*texts)).all()
+
+
+def test_measures_where_keys_meet_are_those_of_all_pairs(spark, monkeypatch):
+    """Every pair that shares a key or is equal in a column comes once, with its measures, also of dealt keys; neither pairs nor their names are shuffled."""
+    from weftlink.operators import search
+
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice(["zebra", "acme", "tech", "rue", "été", "12", "x", ""]) for _ in range(rng.randrange(0, n))).strip()
+    make = lambda s, n: side(spark, [(f"S{s}-{i:03}", text(12), text(6), rng.choice(["lyon", None]), None, rng.choice(["fr", "us", None])) for i in range(n)]).withColumn("raw", F.when(F.col("entity_id").endswith("7"), "").otherwise(F.substring("name_norm", 1, 4)))
+    settings = Settings(cap=12, cap_take=4)
+    a, t = make(1, 60), make(2, 60).withColumns({"source_id": F.lit(2), "pos": F.col("entity_id")})
+    equal = a.where("raw <> ''").select(F.col("entity_id").alias("s1_entity_id"), "raw").join(t.select(F.col("entity_id").alias("target_entity_id"), "raw"), "raw")
+    pairs = candidates.shared_keys(a, t, settings).select("s1_entity_id", "target_entity_id")
+    both = pairs.union(equal.select(*pairs.columns)).distinct()
+    assert both.count() > pairs.count() > 0
+    names = {r.entity_id: r.name_norm for r in a.union(t.select(*a.columns)).collect()}
+    rows = [tuple(r) for r in both.collect()]
+    made = [sim.MEASURES[m]([names[x] for x, _ in rows], [names[y] for _, y in rows]) for m in search.NAME_MEASURES]
+    want = spark.createDataFrame([(x, y, *(float(v[i]) for v in made)) for i, (x, y) in enumerate(rows)], "x string, y string, a double, b double, c double, d double")
+    want = sorted(map(tuple, want.select("x", "y", *(F.round(c, 6) for c in "abcd")).collect()))
+    for deal, returned in ((search.DEAL, search.RETURNED), (2, 5)):
+        monkeypatch.setattr(search, "DEAL", deal)
+        monkeypatch.setattr(search, "RETURNED", returned)
+        found = search.measured(a, t, settings, "raw")
+        assert sorted(map(tuple, found.collect())) == want
+    # The pairs are made in the last step.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow") and "ArrowEvalPython" not in plan
+
+
+def test_rounding_is_that_of_sql(spark):
+    from weftlink.operators import search
+
+    values = [200 * c / n for n in (3, 7, 128, 1024, 2048, 5120) for c in range(0, n, max(1, n // 40))] + [0.0, 100.0]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()]
+    assert search._rounded(sim.np.array(values), 6).tolist() == want
