@@ -117,6 +117,38 @@ def test_lines_odd(spark, frame):
     assert got.columns[5:] == frame([]).columns[5:]
 
 
+def test_lines_asked_for(spark, frame):
+    # Other documents than those of the lines asked for go before any text is split.
+    docs = frame([(1, "a b\n\nc d"), (1, "e f"), (2, "a b\nx"), (None, "g")])
+    lines = line_dedup._lines(docs, "doc_id", "text").collect()
+    want = [(r.doc, r.at, r.line) for r in lines if r.line in ("c d", "g")]
+    asked = line_dedup.cut(spark.createDataFrame([w[:2] for w in want], "doc bigint, at bigint"))
+    for few in (True, False):
+        found = line_dedup._asked_lines(docs, asked, few, "doc_id", "text")
+        assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) == 2
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("LeftSemi" in plan[plan.index("Generate") :]) == few
+
+
+def test_postings_are_narrow(spark):
+    # The flag of an open line shares a long with size and position, and the filters read both past it.
+    reps = spark.createDataFrame([(1, 0, 9, 0, 0, [5, 6, 7], True), (2, 0, 9, 0, 0, [5, 6], False)], "doc bigint, at bigint, n int, map bigint, map2 bigint, prefix array<bigint>, open boolean")
+    rows = line_dedup._postings(reps)
+    assert rows.columns == ["token", "doc", "at", "place", "map", "map2"]
+    got = sorted((r.doc, r.place >> 32, bool(r.place & 1 << 31), r.place & (1 << 31) - 1) for r in rows.collect())
+    assert got == [(1, 9, True, 0), (1, 9, True, 1), (1, 9, True, 2), (2, 9, False, 0), (2, 9, False, 1)]
+    # Only the later line's flag counts.
+    assert line_dedup._in_groups(rows, 80, 100).count() == 0
+    pairs = line_dedup._in_groups(line_dedup._postings(reps.withColumn("open", ~F.col("open"))), 80, 100)
+    assert [(r.x.doc, r.y.doc) for r in pairs.collect()] == [(2, 1)]
+
+
+@pytest.mark.parametrize("line", ["", " \t\x0b\f\r ", "a", "  ä", "\xa0", "\x1c", "\u2003", " \x00"])
+def test_has_word(spark, line):
+    got = spark.createDataFrame([(line,)], "line string").select(line_dedup._has_word(F.col("line")), F.col("line").rlike(line_dedup.HAS_WORD)).first()
+    assert got[0] == got[1]
+
+
 # 3
 
 

@@ -42,8 +42,11 @@ LAGS = 1
 #: Parts of the tokens that are worked on one after the other: so much less shuffled data is on disk at once.
 PASSES = 3
 _LOW = (1 << 32) - 1
+#: In ``place``, below the size: the line is open, and the position.
+_OPEN, _POS = 1 << 31, (1 << 31) - 1
 NO_ID = -(1 << 63)
 HAS_WORD = r"[^\x20\x09-\x0D]"
+BLANKS = " \t\n\x0b\f\r"
 #: So many lines may be broadcast to pick out their texts; more are joined by a shuffle.
 BROADCAST_LINES = 500_000
 
@@ -54,12 +57,17 @@ def _key(id_col: str, text_col: str) -> list:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text).cast("long").bitwiseAND(F.lit(_LOW)).alias("copy")]
 
 
+def _has_word(line):
+    """As ``rlike(HAS_WORD)``, without decoding the line."""
+    return F.ltrim(line, F.lit(BLANKS)) != ""
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, at, line) of every line that has a word; ``at`` is its number above the 32 bits of ``copy``."""
     # The text is hashed below the split; in one projection it would be hashed again for each line.
     own = docs.select(*_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = own.select("doc", "copy", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return found.where(F.col("line").rlike(HAS_WORD)).select("doc", F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("copy")).alias("at"), "line")
+    return found.where(_has_word(F.col("line"))).select("doc", F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("copy")).alias("at"), "line")
 
 
 def _words(text, breaks: str = "\t\x0b\f\r"):
@@ -74,7 +82,7 @@ def _hash(word):
 
 def _hashes(line):
     """56-bit hashes of the distinct words of a line that has some."""
-    return F.array_distinct(F.array_remove(F.transform(_words(line), _hash), _hash(F.lit(""))))
+    return F.array_except(F.transform(_words(line), _hash), F.array(_hash(F.lit(""))))
 
 
 def frequency_classes(docs: DataFrame, text_col: str) -> str:
@@ -93,10 +101,10 @@ def frequency_classes(docs: DataFrame, text_col: str) -> str:
     return f"[{listed.first()['c']}]"
 
 
-def _codes(line, classes: str):
-    """The line's words as longs in order of rarity: class above the hash."""
+def _codes(hashes: str, classes: str):
+    """A line's word hashes as longs in order of rarity: class above the hash."""
     lookup = F.from_json(F.lit(classes), "array<bigint>")
-    return F.sort_array(F.transform(_hashes(line), lambda c: c.bitwiseOR(F.shiftleft(F.coalesce(F.get(lookup, c.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)), 56))))
+    return F.sort_array(F.transform(hashes, lambda c: c.bitwiseOR(F.shiftleft(F.coalesce(F.get(lookup, c.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)), 56))))
 
 
 def _sketch(codes: str, k: int) -> F.Column:
@@ -104,9 +112,9 @@ def _sketch(codes: str, k: int) -> F.Column:
     return F.expr(f"aggregate({codes}, 0L, (m, c) -> m ^ shiftleft(1L, int(shiftrightunsigned(c, {6 * k}) & 63)))")
 
 
-def _half_map(codes: str, half: int) -> F.Column:
-    """One half of a parity map of 128 bits: the words whose hash has this bit, by the six bits below it."""
-    return F.expr(f"aggregate({codes}, 0L, (m, c) -> if((shiftrightunsigned(c, 6) & 1) = {half}, m ^ shiftleft(1L, int(c & 63)), m))")
+def _upper_map(codes: str) -> F.Column:
+    """One half of a parity map of 128 bits: the words whose hash has the bit above the six that place them. The other half is ``_sketch(codes, 0)`` without it."""
+    return F.expr(f"aggregate({codes}, 0L, (m, c) -> m ^ shiftleft(shiftrightunsigned(c, 6) & 1, int(c & 63)))")
 
 
 def _apart(x: str, y: str, dot: str = "."):
@@ -116,7 +124,7 @@ def _apart(x: str, y: str, dot: str = "."):
 
 def _may_match(x: str, y: str, num: int, den: int, dot: str = "."):
     """Length, position and parity filters on two postings."""
-    (nx, px), (ny, py) = ((F.shiftright(F.col(f"{s}{dot}place"), 32), F.col(f"{s}{dot}place").bitwiseAND(F.lit(_LOW))) for s in (x, y))
+    (nx, px), (ny, py) = ((F.shiftright(F.col(f"{s}{dot}place"), 32), F.col(f"{s}{dot}place").bitwiseAND(F.lit(_POS))) for s in (x, y))
     total = nx + ny
     fits = den * F.least(nx, ny) >= num * F.greatest(nx, ny)
     # The pair's own overlap bound: its first shared word is early enough in both, and enough words can follow it.
@@ -125,7 +133,15 @@ def _may_match(x: str, y: str, num: int, den: int, dot: str = "."):
     return fits & by_place & ((total - _apart(x, y, dot)) * (num + den) >= 2 * num * total)
 
 
-def _sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _asked_lines(docs: DataFrame, asked: DataFrame, few: bool, id_col: str, text_col: str) -> DataFrame:
+    """The lines (doc, at, line) that are ``asked`` for (doc, at); where these are few, other documents are not split."""
+    if few:
+        ids = F.broadcast(asked.select(F.col("doc").alias("_doc")).distinct())
+        docs = docs.select(id_col, text_col).join(ids, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("_doc"), "left_semi")
+    return _lines(docs, id_col, text_col).join(F.broadcast(asked) if few else asked, ["doc", "at"], "left_semi")
+
+
+def _sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, set, map1, ...) of the lines in pairs (x, y), which are already computed: their words, and parity maps of these.
 
     It is written first: else the joins' not-null filters would move below the choice of
@@ -133,7 +149,7 @@ def _sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """
     asked = cut(pairs.select(F.col("x.doc").alias("doc"), F.col("x.at").alias("at")).union(pairs.select("y.doc", "y.at")).distinct())
     few = asked.count() <= BROADCAST_LINES
-    found = lines.join(F.broadcast(asked) if few else asked, ["doc", "at"], "left_semi").select(F.struct("doc", "at").alias("id"), _hashes(F.col("line")).alias("set"))
+    found = _asked_lines(docs, asked, few, id_col, text_col).select(F.struct("doc", "at").alias("id"), _hashes(F.col("line")).alias("set"))
     return stored(found.select("id", "set", *(_sketch("set", k).alias(f"map{k}") for k in range(1, MAPS + 1))), "line-found")
 
 
@@ -170,11 +186,14 @@ def _each(spark: SparkSession):
 FIELDS = ("doc", "at", "place", "map", "map2")
 
 
-def _postings(reps: DataFrame, *keep: str) -> DataFrame:
-    """(token, doc, at, place, map, map2, the columns ``keep``) of the lines' prefixes."""
-    # Size and position share one long.
-    found = reps.select(F.posexplode("prefix").alias("pos", "token"), "doc", "at", "n", "map", "map2", *keep)
-    return found.select("token", "doc", "at", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place"), "map", "map2", *keep)
+def _postings(reps: DataFrame) -> DataFrame:
+    """(token, doc, at, place, map, map2) of the lines' prefixes."""
+    # Size, whether the line is open, and position share one long.
+    size = F.shiftleft(F.col("n").cast("long"), 32)
+    if "open" in reps.columns:
+        size = size.bitwiseOR(F.when(F.col("open"), F.lit(_OPEN)).otherwise(F.lit(0)).cast("long"))
+    found = reps.select(F.posexplode("prefix").alias("pos", "token"), "doc", "at", size.alias("size"), "map", "map2")
+    return found.select("token", "doc", "at", F.col("size").bitwiseOR(F.col("pos").cast("long")).alias("place"), "map", "map2")
 
 
 def _near(postings: DataFrame, num: int, den: int) -> DataFrame:
@@ -193,15 +212,16 @@ def _in_groups(postings: DataFrame, num: int, den: int) -> DataFrame:
     A group is dealt by classes of length: the shorter of two lines goes to all classes that a longer one may be
     in, mostly its own alone, and only with its tokens that come early enough.
     """
-    n, pos = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(_LOW))
+    n, pos = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(_POS))
     size = lambda n: F.floor(F.log2(n.cast("double"))).cast("int")
-    rows = postings.select("token", size(n).alias("len"), *FIELDS, "open")
-    side = lambda df, s: df.select("token", "len", *(F.col(c).alias(f"{s}_{c}") for c in (*FIELDS, "open")))
-    early = rows.where(pos <= n - F.ceil(2 * n * num / (num + den)))
-    low = side(early.withColumn("len", F.explode(F.sequence(F.col("len"), size(F.floor(n * den / num))))), "s")
-    both = low.join(side(rows, "l"), ["token", "len"])
+    # The word's hash and the class of length make one long, so that rows are sorted by radix.
+    side = lambda df, s, size: df.select(F.shiftleft(F.col("token").bitwiseAND(F.lit(_HASH)), 6).bitwiseOR(size.cast("long")).alias("key"), *(F.col(c).alias(f"{s}_{c}") for c in FIELDS))
+    early = postings.where(pos <= n - F.ceil(2 * n * num / (num + den)))
+    low = side(early.select("token", *FIELDS, F.explode(F.sequence(size(n), size(F.floor(n * den / num)))).alias("len")), "s", F.col("len"))
+    both = low.join(side(postings, "l", size(n)), "key")
     short, long, order = F.shiftright("s_place", 32), F.shiftright("l_place", 32), (F.col("s_doc") < F.col("l_doc")) | ((F.col("s_doc") == F.col("l_doc")) & (F.col("s_at") < F.col("l_at")))
-    wanted = ((short < long) | ((short == long) & order)) & F.when(order, F.col("l_open")).otherwise(F.col("s_open"))
+    later = F.when(order, F.col("l_place")).otherwise(F.col("s_place"))
+    wanted = ((short < long) | ((short == long) & order)) & (later.bitwiseAND(F.lit(_OPEN)) != 0)
     ident = lambda s: F.struct(F.col(f"{s}_doc").alias("doc"), F.col(f"{s}_at").alias("at"))
     pairs = both.where(wanted & _may_match("s", "l", num, den, "_"))
     return pairs.select(F.when(order, ident("l")).otherwise(ident("s")).alias("x"), F.when(order, ident("s")).otherwise(ident("l")).alias("y")).distinct()
@@ -212,11 +232,13 @@ def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     spark = docs.sparkSession
     lines = _lines(docs, id_col, text_col)
     classes = frequency_classes(docs, text_col)
-    codes = lines.select("doc", "at", _codes(F.col("line"), classes).alias("codes"))
-    n = F.size("codes")
+    # What the next step names twice stays a step of its own, and is made once.
+    hashed = lines.select("doc", "at", _hashes(F.col("line")).alias("hashes"))
+    codes = hashed.select("doc", "at", F.size("hashes").alias("n"), _codes("hashes", classes).alias("codes"), _sketch("hashes", 0).alias("every"), _upper_map("hashes").alias("map2"))
+    n = F.col("n")
     prefix = F.slice("codes", 1, (n - F.ceil(n * num / den) + 1).cast("int"))
     # Two hashes of different inputs: equal sets are told by 128 bits.
-    own = F.struct("doc", "at", n.alias("n"), _half_map("codes", 0).alias("map"), _half_map("codes", 1).alias("map2"), prefix.alias("prefix"))
+    own = F.struct("doc", "at", "n", F.col("every").bitwiseXOR(F.col("map2")).alias("map"), "map2", prefix.alias("prefix"))
     marked = codes.select(F.xxhash64("codes").alias("d1"), F.xxhash64(F.lit(1), "codes").alias("d2"), own.alias("line"))
     # The first line of each set stands for it.
     reps = stored(marked.groupBy("d1", "d2").agg(F.min("line").alias("line")).select("line.*"), "line-sets")
@@ -225,15 +247,15 @@ def staying_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str =
     often = F.shiftright("token", 56) >= OFTEN
     near = reduce(DataFrame.union, [cut(_near(_postings(reps).where(often & part(k)), num, den)) for k in _each(spark)])
     likely = cut(near.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best")).select("x", "best.y"))
-    sets = _sets(likely, lines)
+    sets = _sets(likely, docs, id_col, text_col)
     gone = _verified(likely, sets, num, den)
     discard(sets)
     few = gone.count() <= BROADCAST_LINES
     done = F.broadcast(gone) if few else gone
     marked = reps.join(done.withColumn("gone", F.lit(True)), ["doc", "at"], "left").withColumn("open", F.col("gone").isNull())
-    found = [cut(_in_groups(_postings(marked, "open").where(part(k)), num, den)) for k in _each(spark)]
+    found = [cut(_in_groups(_postings(marked).where(part(k)), num, den)) for k in _each(spark)]
     pairs = cut(reduce(DataFrame.union, found).join(likely, ["x", "y"], "left_anti").distinct())
-    sets = _sets(pairs, lines)
+    sets = _sets(pairs, docs, id_col, text_col)
     pairs = _close(pairs, sets, num, den)
     release(spark)
     # The closest partner of a line settles it mostly; its other pairs are verified only if it does not.
@@ -260,7 +282,7 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "d
     """``docs`` with the lines that go cut out of the text; null texts become empty."""
     stay = staying_lines(docs, num, den, id_col, text_col)
     found = _with_stay(docs, stay, [F.struct(*docs.columns).alias("_row")], id_col, text_col)
-    kept = F.filter(F.split("_text", "\n"), lambda line, i: ~line.rlike(HAS_WORD) | F.array_contains("_lines", i))
+    kept = F.filter(F.split("_text", "\n"), lambda line, i: ~_has_word(line) | F.array_contains("_lines", i))
     return found.select(*(F.array_join(kept, "\n").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
@@ -268,8 +290,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those with words, and how many and which (numbers from 0) of those go."""
     docs = table(spark, sf_dir, "documents")
     stay = staying_lines(docs)
-    numbers = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, i: F.when(line.rlike(HAS_WORD), i)), lambda i: i.isNotNull())
-    own = docs.select("doc_id", *_key("doc_id", "text"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"), numbers.alias("filled"))
+    numbers = F.filter(F.transform("parts", lambda line, i: F.when(_has_word(line), i)), lambda i: i.isNotNull())
+    split = docs.select("doc_id", *_key("doc_id", "text"), F.split(F.coalesce("text", F.lit("")), "\n").alias("parts"))
+    own = split.select("doc_id", "doc", "copy", F.size("parts").alias("n_lines"), numbers.alias("filled"))
     found = own.join(stay, ["doc", "copy"], "left")
     gone = F.array_except("filled", F.coalesce("lines", F.lit([]).cast("array<int>")))
     return found.select("doc_id", "n_lines", F.size("filled").alias("n_filled"), F.size(gone).alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
